@@ -1,0 +1 @@
+"""Nearest-neighbour regression and black-box optimization on Spark tables."""
