@@ -1,23 +1,20 @@
-"""What the operators of this subpackage share: the cluster's scratch folder, tables written to
-it, compact binary packing of sorted integers, and the two word definitions.
-
-Scratch tables live under the folder that ``spark.checkpoint.dir`` names.  They are ordinary
-Parquet, so a lost executor costs nothing but a re-read.  Only where that setting is absent and
-Spark runs in one local process is a folder of our own used.
+"""What the operators of this subpackage share: words, local word ids, compact binary packing of
+sorted integers, and keys that spread over partitions.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from nearfield.sources.scratch import dropped, written
+
+__all__ = ["WordIds", "dropped", "mix64", "pack_ints", "pack_sorted", "partitions", "prepare", "spread_keys", "unpack_ints", "unpack_sorted", "words_of", "written"]
 
 ROOT = str(Path(__file__).resolve().parents[2])
-_OWN: dict[str, str] = {}
 
 
 def prepare(spark: SparkSession) -> None:
@@ -28,43 +25,6 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *have])
 
 
-def scratch_root(spark: SparkSession) -> str:
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if not named:
-        held = sc._jsc.sc().getCheckpointDir()
-        named = held.get() if held.isDefined() else None
-    if named:
-        return named.rstrip("/")
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if sc.applicationId not in _OWN:
-        _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="nearfield-scratch-")
-    return "file://" + _OWN[sc.applicationId]
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_root(spark)}/nearfield/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the scratch folder and read it back: lineage ends at shared files."""
-    path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._nearfield_path = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete a table made by :func:`written` that no later plan reads."""
-    path = getattr(df, "_nearfield_path", None)
-    if path:
-        jvm, jsc = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -129,3 +89,38 @@ class WordIds:
         from xxhash import xxh3_64_intdigest as h
 
         return np.fromiter((h(w, self.seed) for w in self.ids), dtype=np.uint64, count=len(self.ids))
+
+
+def spread_keys(n: int, partitions: int | None = None) -> list[int]:
+    """``n`` integers of which Spark's hash partitioning sends the i-th to partition i of
+    ``partitions`` (n or more): consecutive numbers would collide and leave partitions empty."""
+    total = partitions or n
+    if total < n:
+        raise ValueError("there are fewer partitions than keys")
+    found: dict[int, int] = {}
+    missing, k = n, 0
+    while missing:
+        at = _spark_hash(k) % total
+        if at < n and at not in found:
+            found[at] = k
+            missing -= 1
+        k += 1
+    return [found[i] for i in range(n)]
+
+
+def _spark_hash(value: int) -> int:
+    """Murmur3 of one 32-bit integer with seed 42, signed: what HASH partitioning divides."""
+    mask = 0xFFFFFFFF
+    k = value * 0xCC9E2D51 & mask
+    k = (k << 15 | k >> 17) & mask
+    k = k * 0x1B873593 & mask
+    h = 42 ^ k
+    h = (h << 13 | h >> 19) & mask
+    h = (h * 5 + 0xE6546B64) & mask
+    h ^= 4
+    h ^= h >> 16
+    h = h * 0x85EBCA6B & mask
+    h ^= h >> 13
+    h = h * 0xC2B2AE35 & mask
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
