@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearfield.llm.quality import Block, blocks
-from nearfield.llm.shared import dropped, mix64, pack_ints, pack_sorted, partitions, prepare, unpack_ints, unpack_sorted, written
+from nearfield.llm.shared import mix64, pack_ints, pack_sorted, partitions, prepare, spread_keys, unpack_ints, unpack_sorted, written
 
 WINDOW = 13
 INNER = 5
@@ -83,7 +83,8 @@ ENTRY = "shard int, history boolean, keys binary, docs binary, many binary, also
 MERGED = "run boolean, shard int, keys binary, docs binary, many binary, doc long, key long"
 
 
-def _block_entries(block: Block, ids: np.ndarray, window: int, inner: int, shards: int) -> pa.RecordBatch | None:
+def _block_entries(block: Block, ids: np.ndarray, window: int, inner: int, names: list[int]) -> pa.RecordBatch | None:
+    shards = len(names)
     starts, keys = fingerprints(block, window, inner)
     if not len(keys):
         return None
@@ -103,7 +104,7 @@ def _block_entries(block: Block, ids: np.ndarray, window: int, inner: int, shard
     for s in range(shards):
         a, b, c, d = cut[s], cut[s + 1], cut_also[s], cut_also[s + 1]
         if b > a:
-            rows.append((s, False, pack_sorted(first_keys[a:b]), _raw(first_docs[a:b]), pack_ints(many[a:b]), pack_sorted(also_keys[c:d]), _raw(also_docs[c:d])))
+            rows.append((names[s], False, pack_sorted(first_keys[a:b]), _raw(first_docs[a:b]), pack_ints(many[a:b]), pack_sorted(also_keys[c:d]), _raw(also_docs[c:d])))
     return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=[x.split()[0] for x in ENTRY.split(", ")]).cast(_arrow(ENTRY))
 
 
@@ -151,6 +152,7 @@ class SubstringIndex:
         prepare(spark)
         self.spark, self.window, self.inner, self.fanout = spark, window, inner, fanout
         self.shards = shards or partitions(spark)
+        self.names = spread_keys(self.shards)  # one shard to a partition
         self.levels: list[list[DataFrame]] = [[]]
 
     def runs(self) -> list[DataFrame]:
@@ -159,20 +161,20 @@ class SubstringIndex:
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Merge-join a batch with the runs, append its run, and return the matches
         ``(doc, key)`` that it brings, those of earlier documents included."""
-        window, inner, shards = self.window, self.inner, self.shards
+        window, inner, names = self.window, self.inner, self.names
 
         def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 for block in blocks(batch.column(1).cast(pa.binary()), 2_000_000):
-                    out = _block_entries(block, ids[block.rows.start : block.rows.stop], window, inner, shards)
+                    out = _block_entries(block, ids[block.rows.start : block.rows.stop], window, inner, names)
                     if out is not None:
                         yield out
 
         fresh = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), text_col).mapInArrow(entries, ENTRY)
         for run in self.runs():
             fresh = fresh.unionByName(_as_history(run))
-        merged = written(fresh.repartition(shards, "shard").groupBy("shard").applyInPandas(merge_shard, MERGED), "substring-run")
+        merged = written(fresh.repartition(self.shards, "shard").groupBy("shard").applyInPandas(merge_shard, MERGED), "substring-run")
         self.levels[0].append(merged)
         self.compact()
         return merged.where("not run").select("doc", "key")
@@ -199,12 +201,13 @@ def _as_history(run: DataFrame) -> DataFrame:
 WINDOWS = "shard int, hashes binary, checks binary, docs binary, at binary, also_docs binary, also_at binary"
 
 
-def _window_entries(block: Block, ids: np.ndarray, wanted: list[np.ndarray], window: int, inner: int, shards: int) -> list[tuple]:
+def _window_entries(block: Block, ids: np.ndarray, wanted: list[np.ndarray], window: int, inner: int, names: list[int]) -> list[tuple]:
     """Hashes of the windows behind matches: of the block's first document with each, and of the
     block's other documents those that are thereby known to repeat it."""
     starts, keys = fingerprints(block, window, inner)
     if not len(starts):
         return []
+    shards = len(names)
     sizes = [len(w) for w in wanted]
     salt = mix64(np.arange(len(wanted), dtype=np.uint64) + U(1))
     want = np.concatenate(wanted).astype(np.int64).view(np.uint64) ^ np.repeat(salt, sizes)
@@ -227,12 +230,12 @@ def _window_entries(block: Block, ids: np.ndarray, wanted: list[np.ndarray], win
         a, b = cut[s], cut[s + 1]
         if b > a:
             m = lead[a:b]
-            rows.append((s, pack_sorted(hashes[a:b][m]), pack_ints(checks[a:b][m]), _raw(docs[a:b][m]), pack_ints(at[a:b][m]), _raw(docs[a:b][~m]), pack_ints(at[a:b][~m])))
+            rows.append((names[s], pack_sorted(hashes[a:b][m]), pack_ints(checks[a:b][m]), _raw(docs[a:b][m]), pack_ints(at[a:b][m]), _raw(docs[a:b][~m]), pack_ints(at[a:b][~m])))
     return rows
 
 
 def verify_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(doc, positions): windows that an earlier document holds too."""
+    """(doc, at): a row for each window that an earlier document holds too."""
     hashes = np.concatenate([unpack_sorted(x) for x in pdf["hashes"]])
     checks, docs, at = (np.concatenate([f(x) for x in pdf[c]]) for c, f in (("checks", unpack_ints), ("docs", _ids), ("at", unpack_ints)))
     order = np.lexsort((docs, checks, hashes))
@@ -240,11 +243,8 @@ def verify_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     first = np.r_[True, (hashes[1:] != hashes[:-1]) | (checks[1:] != checks[:-1])]
     later = docs > docs[first][np.cumsum(first) - 1]
     docs = np.concatenate([docs[later], *[_ids(x) for x in pdf["also_docs"]]])
-    at = np.concatenate([at[later], *[unpack_ints(x) for x in pdf["also_at"]]]).astype(np.int32)
-    order = np.argsort(docs, kind="stable")
-    docs, at = docs[order], at[order]
-    start = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]]) if len(docs) else np.zeros(0, np.int64)
-    return pd.DataFrame({"doc": docs[start], "at": np.split(at, start[1:]) if len(start) else []})
+    at = np.concatenate([at[later], *[unpack_ints(x) for x in pdf["also_at"]]])
+    return pd.DataFrame({"doc": docs, "at": at.astype(np.int32)})
 
 
 def repeats(docs: DataFrame, matches: DataFrame, window: int = WINDOW, inner: int = INNER, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,6 +253,7 @@ def repeats(docs: DataFrame, matches: DataFrame, window: int = WINDOW, inner: in
     of null ids."""
     spark = docs.sparkSession
     shards = shards or partitions(spark)
+    names = spread_keys(shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,14 +261,14 @@ def repeats(docs: DataFrame, matches: DataFrame, window: int = WINDOW, inner: in
             keys = batch.column(2)
             for block in blocks(batch.column(1).cast(pa.binary()), 1_000_000):
                 wanted = [keys[r].values.to_numpy(zero_copy_only=False) for r in block.rows]
-                rows = _window_entries(block, ids[block.rows.start : block.rows.stop], wanted, window, inner, shards)
+                rows = _window_entries(block, ids[block.rows.start : block.rows.stop], wanted, window, inner, names)
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=[x.split()[0] for x in WINDOWS.split(", ")]).cast(_arrow(WINDOWS))
 
     per_doc = matches.groupBy(F.col("doc").alias("__nf_doc")).agg(F.collect_set("key").alias("__nf_keys"))
     with_keys = docs.join(per_doc, F.col(id_col) == F.col("__nf_doc")).select(F.col(id_col).cast("long"), text_col, "__nf_keys")
-    found = with_keys.mapInArrow(run, WINDOWS).repartition(shards, "shard").groupBy("shard").applyInPandas(verify_shard, "doc long, at array<int>")
-    return found.groupBy("doc").agg(F.flatten(F.collect_list("at")).alias("starts"))
+    found = with_keys.mapInArrow(run, WINDOWS).repartition(shards, "shard").groupBy("shard").applyInPandas(verify_shard, "doc long, at int")
+    return found.groupBy("doc").agg(F.collect_list("at").alias("starts"))
 
 
 def covered(n: int, starts: np.ndarray, window: int = WINDOW) -> np.ndarray:
