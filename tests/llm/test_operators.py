@@ -414,3 +414,36 @@ def test_chat_round_trip(seed):
         assert chat.unescape(out.text[slice(*out.body)]) == turn.text
     with pytest.raises(ValueError):
         chat.parse("<|im_start|>user\nno end")
+
+
+# ---- shared
+
+
+def test_keys_fill_all_partitions(spark):
+    from nearfield.llm.shared import spread_keys
+
+    for n, wide in ((1, 1), (7, 7), (12, 17)):
+        df = spark.createDataFrame([(k, i) for i, k in enumerate(spread_keys(n, wide))], "k int, i int").repartition(wide, "k")
+        assert all(r[0] == r[1] for r in df.select("i", F.spark_partition_id()).collect())
+
+
+def test_packing():
+    from nearfield.llm.shared import pack_ints, pack_sorted, unpack_ints, unpack_sorted
+
+    rng = np.random.default_rng(0)
+    for v in (np.zeros(0, np.uint64), np.array([2**64 - 1], np.uint64), rng.integers(0, 2**63, 1000, dtype=np.uint64)):
+        assert (unpack_ints(pack_ints(v)) == v).all()
+        v = np.sort(v)
+        assert (unpack_sorted(pack_sorted(v)) == v).all()
+
+
+def test_components(spark):
+    from nearfield.llm.components import connected_components
+
+    rng = np.random.default_rng(1)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(k, k + 1) for k in range(1000, 1060)] + [(5, 5), (2000, 3000), (2000, 3000)]
+    df = spark.createDataFrame([*edges, (None, 1)], "a long, b long")
+    got = {r["node"]: r["component"] for r in connected_components(df).collect()}
+    root = brute.unite({x for e in edges for x in e}, edges)
+    assert got == {n: r for n, r in root.items() if n != r}
+    assert connected_components(df.limit(0)).collect() == []
