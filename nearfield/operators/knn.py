@@ -6,9 +6,8 @@ Three strategies give equal results:
 * ``block`` broadcasts the queries as one array, only while they fit ``BROADCAST_BYTES``; each
   partition of the observations keeps its own k best for every query in Arrow batches, and a
   window over partitions x k candidates ranks these.  Observations are read once and not moved.
-* ``grid`` is for more queries than that: queries and observations are dealt into blocks, each
-  pair of blocks is one task, and the k best of every task are ranked.  Observations move once
-  for each block of queries.
+* ``grid`` is for more queries than that: queries are dealt into blocks of 16 MB, observations into
+  as many blocks as make one task of each pair, and the k best of every task are ranked.
 """
 
 from __future__ import annotations
@@ -26,6 +25,7 @@ from pyspark.sql.window import Window
 from nearfield.functions.expr import doubles, sq_l2
 
 BROADCAST_BYTES = 64 << 20
+GRID_BYTES = 16 << 20
 SELF_D2 = 1e-15
 CELLS = 4_000_000
 
@@ -149,10 +149,11 @@ def knn(
 
     if strategy != "grid":
         raise ValueError(f"no strategy {strategy!r}")
-    n = blocks or max(2, int(int(spark.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
-    every = F.array(*[F.lit(i) for i in range(n)])
-    left = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int")).withColumn("ob", F.explode(every))
-    right = o.withColumn("ob", F.pmod(F.xxhash64("row_id"), F.lit(n)).cast("int")).withColumn("qb", F.explode(every))
+    size = q.agg(F.sum(8 * (F.size("qx") + 1))).first()[0] or 0
+    n_q = blocks or max(2, -(-size // GRID_BYTES))
+    n_o = blocks or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // n_q)
+    left = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int")).withColumn("ob", F.explode(F.sequence(F.lit(0), F.lit(n_o - 1))))
+    right = o.withColumn("ob", F.pmod(F.xxhash64("row_id"), F.lit(n_o)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
 
     def pair(qs: pd.DataFrame, xs: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(xs):

@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from nearfield.functions import expr
 from nearfield.functions.expr import EPS_VAR
-from nearfield.operators.knn import knn
+from nearfield.operators.knn import BROADCAST_BYTES, knn
 
+#: Of a neighbour row in memory: four numbers and its overhead.
+ROW_BYTES = 64
 RESULT = ["query_id", "metric", "mu", "se", "se_epi", "se_ale", "n_neighbors"]
 
 
@@ -35,6 +37,8 @@ def y_scales(observations: DataFrame) -> DataFrame:
 def neighbours(queries: DataFrame, observations: DataFrame, k: int, exclude_self: bool, scale: Sequence[float] | None, strategy: str) -> DataFrame:
     """Neighbour rows with y and yvar: (query_id, rank, row_id, d2, y, yvar)."""
     found = knn(queries, observations, k, scale=scale, exclude_self=exclude_self, strategy=strategy)
+    if queries.count() * (k + 1) * ROW_BYTES <= BROADCAST_BYTES:
+        found = F.broadcast(found)  # then the observations are not moved
     values = observations.select(F.col("row_id").alias("n_row"), expr.doubles(F.col("y")).alias("y"), (expr.doubles(F.col("yvar")) if "yvar" in observations.columns else F.lit(None).cast("array<double>")).alias("yvar"))
     return found.join(values, F.col("row_id") == F.col("n_row")).drop("n_row")
 
