@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.eliasfano import Trie
 from nearfield.llm.quality import blocks
-from nearfield.llm.shared import mix64, pack_ints, partitions, prepare, unpack_ints
+from nearfield.llm.shared import mix64, pack_ints, partitions, prepare, spread_keys, unpack_ints
 
 U = np.uint64
 #: Hashes of the two tokens that are no words.
@@ -162,6 +162,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prepare(spark)
     rows, cols = grid(partitions(spark))
     shards = rows * cols
+    wide = partitions(spark)
+    keys = spread_keys(shards, wide)  # one shard to a partition
+    places = {k: i for i, k in enumerate(keys)}
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
@@ -179,7 +182,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 out = [(name % shards, name, True, head)]
                 out += [(s, name, False, m) for s, m in block_messages(block.texts, block.counts, block.ids, block.words.hashes(), train, shards)]
                 s, b, h, m = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(b, pa.int64()), pa.array(h, pa.bool_()), pa.array(m, pa.binary())], names=["shard", "block", "head", "message"])
+                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in s], pa.int32()), pa.array(b, pa.int64()), pa.array(h, pa.bool_()), pa.array(m, pa.binary())], names=["shard", "block", "head", "message"])
 
     def ask(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf[~pdf["head"]]
@@ -190,7 +193,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         n = len(vocabulary)
         seen = [np.bincount(c, count, n), np.bincount(c, minlength=n), np.bincount(w, count, n), np.bincount(w, minlength=n)]
         stats = [count.sum(), len(count), (count == 1).sum(), (count == 2).sum()]
-        out = [(o, shard, Packer.pack(vocabulary[at], *[s[at].astype(np.int64) for s in seen])) for o, at in enumerate(owners(vocabulary, shards)) if len(at)]
+        out = [(keys[o], shard, Packer.pack(vocabulary[at], *[s[at].astype(np.int64) for s in seen])) for o, at in enumerate(owners(vocabulary, shards)) if len(at)]
         out.append((shard, -1, Packer.pack(np.array(stats, np.int64))))
         return pd.DataFrame(out, columns=["owner", "shard", "message"])
 
@@ -221,7 +224,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             by_owner = owners(vocabulary, shards)
             for owner, m in zip(replies["owner"], replies["message"]):
                 for total, part in zip(totals, Packer.unpack(m)):
-                    total[by_owner[owner]] = part
+                    total[by_owner[places[owner]]] = part
             stats = {n: float(replies[n].iloc[0]) for n in STATS}
             p1, p2, back, unknown = smoothed(c, w, count, totals, stats)
             known = np.flatnonzero((totals[0] > 0) | (totals[2] > 0))
@@ -269,11 +272,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         })
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), text_col)
-    messages = source.mapInArrow(send, "shard int, block long, head boolean, message binary").repartition(shards, "shard")
-    asked = messages.groupBy("shard").applyInPandas(ask, "owner int, shard int, message binary").repartition(shards, "owner")
+    messages = source.mapInArrow(send, "shard int, block long, head boolean, message binary").repartition(wide, "shard")
+    asked = messages.groupBy("shard").applyInPandas(ask, "owner int, shard int, message binary").repartition(wide, "owner")
     replied = asked.groupBy("owner").applyInPandas(reply, "shard int, owner int, message binary, stats array<double>")
     totals = replied.where("shard < 0").agg(*[F.sum(F.col("stats")[k]).alias(n) for k, n in enumerate(STATS)])
-    replies = replied.where("shard >= 0").select("shard", "owner", "message").crossJoin(F.broadcast(totals)).repartition(shards, "shard")
+    replies = replied.where("shard >= 0").select("shard", "owner", "message").crossJoin(F.broadcast(totals)).repartition(wide, "shard")
     scored = messages.groupBy("shard").cogroup(replies.groupBy("shard")).applyInPandas(score, "block long, head boolean, message binary, mass double, tokens double")
     result = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return scored.repartition(shards, "block").groupBy("block").applyInPandas(finish, result).withColumnRenamed("id", id_col)
+    return scored.repartition(wide, "block").groupBy("block").applyInPandas(finish, result).withColumnRenamed("id", id_col)
