@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 from nearfield.llm.components import connected_components
 from nearfield.llm.shared import partitions, prepare, written
 
-TABLES = 24
-BITS = 14
+TABLES = 32
+BITS = 20
 THRESHOLD = 0.98
 CHUNK = 1024
 SEED = 8
