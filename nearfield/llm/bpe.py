@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
 from array import array
 from collections.abc import Iterator
 
@@ -55,6 +56,7 @@ class WordBpe:
         self.text_of = {i: t for t, i in self.vocab.items()}
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.text_of |= {i: t for t, i in self.special.items()}
+        self.special_starts = sorted({t[0] for t in self.special})
         steps = spec["pre_tokenizer"]["pretokenizers"]
         self.pattern = regex.compile(steps[0]["pattern"]["Regex"])
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -83,7 +85,9 @@ class WordBpe:
             self.made.setdefault(both, (left, right, rank))
         self._left: dict[int, list[tuple[int, int]]] = {}
         self._right: dict[int, list[tuple[int, int]]] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self.many = 1 + max(self.text_of)
+        self._pairs: dict[int, bool] = {}
+        self._words: dict[str, list[int]] = {}
         self._chunks: dict[bytes, tuple[bytes, str, int]] = {}
 
         self.automaton = ahocorasick.Automaton()
@@ -115,7 +119,7 @@ class WordBpe:
         at the border at time r.  Equal ranks go leftmost first, so x must be hidden later than
         r, and y not earlier than r.
         """
-        key = (a, b)
+        key = a * self.many + b
         if (out := self._pairs.get(key)) is None:
             rank = self.pair_rank
             out = True
@@ -139,13 +143,21 @@ class WordBpe:
         n = len(s)
         last = [-1] * (n + 1)  # the last token of each prefix's encoding
         size = [0] * (n + 1)
+        pairs, many = self._pairs, self.many
         for end, (length, token) in self.automaton.iter(s):
             end += 1
             if last[end] >= 0:
                 continue
-            start = end - length
-            if start == 0 or (last[start] >= 0 and self.compatible(last[start], token)):
-                last[end], size[end] = token, length
+            if start := end - length:
+                before = last[start]
+                if before < 0:
+                    continue
+                ok = pairs.get(before * many + token)
+                if ok is None:
+                    ok = self.compatible(before, token)
+                if not ok:
+                    continue
+            last[end], size[end] = token, length
         if last[n] < 0:
             raise ValueError(f"no encoding of {word!r}")
         out, i = [], n
@@ -154,22 +166,32 @@ class WordBpe:
             i -= size[i]
         return out[::-1]
 
+    def word(self, word: str) -> list[int]:
+        """:meth:`encode_word`, remembered: chunks that differ in case or punctuation share words."""
+        if (out := self._words.get(word)) is None:
+            out = self.encode_word(word)
+            if len(self._words) >= REMEMBERED:
+                self._words.clear()
+            if len(word) <= 256:
+                self._words[word] = out
+        return out
+
     def encode_chunk(self, chunk: str) -> list[int]:
         """Ids of a text that a white-space boundary surrounds."""
         ids: list[int] = []
-        parts = self.special_pattern.split(chunk) if self.special_pattern else [chunk]
+        parts = self.special_pattern.split(chunk) if any([c in chunk for c in self.special_starts]) else [chunk]
         letters = self.letters
         for part in parts:
             if part in self.special:
                 ids.append(self.special[part])
             elif part.isascii() and part.isprintable():
                 for m in self.pattern.findall(part.lower()):
-                    ids += self.encode_word(m)
+                    ids += self.word(m)
             elif part:
                 part = self.normalize(part)
                 if max(part) < "\u0250":
                     for m in self.pattern.findall(part):
-                        ids += self.encode_word("".join([letters[b] for b in m.encode("utf-8")]))
+                        ids += self.word("".join([letters[b] for b in m.encode("utf-8")]))
                 else:  # what counts as a letter depends on the library's Unicode version
                     for m, _ in self.cut(part):
                         ids += self.encode_word(m)
@@ -195,8 +217,6 @@ class WordBpe:
 
 
 def _u32(ids: list[int]) -> bytes:
-    import sys
-
     a = array("I", ids)
     if sys.byteorder == "big":
         a.byteswap()
