@@ -175,6 +175,20 @@ class EpistemicNearestNeighbors:
         rows = knn(q, self.store.rows(), k, scale=self.x_scale_row, exclude_self=exclude_nearest).collect()
         return self._index(rows, len(x))
 
+    def neighbor_distances_and_indices(self, x, k: int, *, exclude_nearest: bool = False, pad_with_last: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(squared distances, row ids), both (queries, k); missing places hold inf, and the last
+        id there is (or -1)."""
+        q, x = self._queries(x)
+        d2, ids = np.full((len(x), k), np.inf), np.full((len(x), k), -1, np.int64)
+        if k and len(self) and len(x):
+            for r in knn(q, self.store.rows(), k, scale=self.x_scale_row, exclude_self=exclude_nearest).collect():
+                d2[r["query_id"], r["rank"] - 1], ids[r["query_id"], r["rank"] - 1] = r["d2"], r["row_id"]
+        if pad_with_last:
+            for row in ids:
+                found = row[row >= 0]
+                row[row < 0] = found[-1] if len(found) else -1
+        return d2, ids
+
     @staticmethod
     def _index(rows: list, n: int) -> np.ndarray:
         out = np.full((n, max((r["rank"] for r in rows), default=0)), -1, np.int64)

@@ -98,10 +98,15 @@ def posterior(
     scale: Sequence[float] | None = None,
     scales: DataFrame | None = None,
     strategy: str = "auto",
+    strict_batch_k: bool = False,
 ) -> DataFrame:
     """Mean and standard errors of every query and metric.  Queries without neighbours are not in
-    the result; :func:`with_prior` adds them."""
+    the result; :func:`with_prior` adds them.  With ``strict_batch_k`` all queries use as many
+    neighbours as the one that has the fewest."""
     near = neighbours(queries, observations, k, exclude_nearest, scale, strategy)
+    if strict_batch_k:
+        fewest = near.groupBy("query_id").agg(F.max("rank").alias("m")).agg(F.min("m").alias("fewest"))
+        near = near.crossJoin(F.broadcast(fewest)).where("rank <= fewest").drop("fewest")  # one row
     weighted = _weighted(near, scales if scales is not None else y_scales(observations), F.lit(float(epi)), F.lit(float(ale)), ["query_id"])
     return _moments(weighted, ["query_id"], observation_noise).select(*RESULT)
 

@@ -64,7 +64,7 @@ def with_yvar(o: DataFrame) -> DataFrame:
     return o.withColumn("yvar", F.transform("y", lambda v: 0.01 * (1 + v)))
 
 
-@query(f"with {NEAR} select qid as query_id, rk as rank, tid as row_id, round(d2, 6) as d2 from r where rk <= 10")
+@query(f"with {NEAR} select qid as query_id, rk::int as rank, tid as row_id, round(d2, 6) as d2 from r where rk <= 10")
 def knn_topk(spark, sf_dir):
     return rounded(knn.knn(*vectors(spark, sf_dir), 10), "d2")
 
@@ -79,7 +79,7 @@ def knn_sql(spark, sf_dir):
     return rounded(knn.knn(*vectors(spark, sf_dir), 10, strategy="sql"), "d2")
 
 
-@query(f"with {NEAR} select qid as query_id, rk as rank, tid as row_id, round(d2, 6) as d2 from x where rk <= 10")
+@query(f"with {NEAR} select qid as query_id, rk::int as rank, tid as row_id, round(d2, 6) as d2 from x where rk <= 10")
 def knn_exclude_self(spark, sf_dir):
     return rounded(knn.knn(*vectors(spark, sf_dir), 10, exclude_self=True), "d2")
 
@@ -87,7 +87,7 @@ def knn_exclude_self(spark, sf_dir):
 SCALED = f"""with q as (select vec_id as qid, list_transform(embedding, lambda v, i: v::double / (1 + (i - 1) % 3)) as qx from embeddings where vec_id % 20 = 0),
 t as (select vec_id as tid, list_transform(embedding, lambda v, i: v::double / (1 + (i - 1) % 3)) as tx from embeddings),
 d as (select qid, tid, {D2} as d2 from q cross join t)
-select qid as query_id, row_number() over (partition by qid order by d2, tid) as rank, tid as row_id, round(d2, 6) as d2 from d qualify rank <= 5"""
+select qid as query_id, row_number() over (partition by qid order by d2, tid)::int as rank, tid as row_id, round(d2, 6) as d2 from d qualify rank <= 5"""
 
 
 @query(SCALED)
@@ -95,7 +95,7 @@ def knn_scaled(spark, sf_dir):
     return rounded(knn.knn(*vectors(spark, sf_dir), 5, scale=[1.0 + j % 3 for j in range(64)]), "d2")
 
 
-@query(f"with {NEAR} select 1.0 as recall")
+@query(f"with {NEAR} select 1.0::double as recall")
 def knn_recall(spark, sf_dir):
     q, o = vectors(spark, sf_dir)
     return knn.recall(knn.knn(q, o, 10, strategy="grid"), knn.knn(q, o, 10))
@@ -146,7 +146,7 @@ def posterior_multi_metric(spark, sf_dir):
 @query(
     f"""with {NEAR}, p as (select unnest([0, 1, 2]) as param_id, unnest([10, 5, 10]) as k, unnest([1.0, 0.5, 3.0]::double[]) as epi, unnest([0.1, 0.01, 0.0]::double[]) as ale)
 select param_id, qid as query_id, 0 as metric, round(sum(w * y) / sum(w), 6) as mu,
-round(sqrt(greatest(1 / sum(w), 1e-9)) * max(ys), 6) as se, round(sqrt(greatest(1 / sum(w), 1e-9)) * max(ys), 6) as se_epi, 0.0 as se_ale, count(*) as n_neighbors
+round(sqrt(greatest(1 / sum(w), 1e-9)) * max(ys), 6) as se, round(sqrt(greatest(1 / sum(w), 1e-9)) * max(ys), 6) as se_epi, 0.0::double as se_ale, count(*) as n_neighbors
 from (select r.*, param_id, ys, 1 / (1e-9 + epi * d2 + ale) as w from r, p, s where rk <= k) group by param_id, qid"""
 )
 def batch_posterior(spark, sf_dir):
@@ -232,7 +232,7 @@ def normal_hash(spark, sf_dir):
 @query(
     f"""with {NEAR}, w0 as (select qid, tid, y, d2, ys, 1 / (1e-9 + d2 + 0.1) as w, sd from r, s, (select unnest([3, 11]) as sd) where rk <= 10),
 {normal_sql('w0', 'sd', 'tid', '0')}
-select qid as query_id, 0 as metric, sd as seed, round(sum(w * y) / sum(w) + sqrt(greatest(1 / sum(w), 1e-9)) * max(ys) / greatest(sqrt(sum(w * w)) / sum(w), 1e-12) * sum(w * z) / sum(w), 6) as value from zt group by qid, sd"""
+select qid as query_id, 0 as metric, sd::bigint as seed, round(sum(w * y) / sum(w) + sqrt(greatest(1 / sum(w), 1e-9)) * max(ys) / greatest(sqrt(sum(w * w)) / sum(w), 1e-12) * sum(w * z) / sum(w), 6) as value from zt group by qid, sd"""
 )
 def function_draws(spark, sf_dir):
     return rounded(posterior.function_draws(*vectors(spark, sf_dir), 10, 1.0, 0.1, [3, 11]), "value")
@@ -450,7 +450,7 @@ def ucb_topk(spark, sf_dir):
 
 
 @query(
-    """select p_partkey, round((p_size - 1) / 49.0, 6) as u0, 0.5 as u1, round(p_retailprice, 6) as back from part"""
+    """select p_partkey, round((p_size - 1)::double / 49.0, 6) as u0, 0.5::double as u1, round(p_retailprice, 6) as back from part"""
 )
 def unit_cube(spark, sf_dir):
     bounds = [(1.0, 50.0), (3.0, 3.0), (0.0, 5000.0)]
@@ -461,7 +461,7 @@ def unit_cube(spark, sf_dir):
 
 
 @query(
-    """select p_partkey, round(ln((p_size / 60.0) / (1 - p_size / 60.0)), 6) as both, round(ln(p_size - 0.5), 6) as lower, round(-ln(51.0 - p_size), 6) as upper, round(p_size::double, 6) as back,
+    """select p_partkey, round(ln((p_size / 60.0) / (1 - p_size / 60.0)), 6) + 0.0 as both, round(ln(p_size - 0.5), 6) + 0.0 as lower, round(-ln(51.0 - p_size), 6) + 0.0 as upper, round(p_size::double, 6) as back,
 round(60.0 * (p_size / 60.0) * (1 - p_size / 60.0), 6) as slope, round(pow(60.0 / (p_size * (60.0 - p_size)), 2) * 0.25, 6) as variance from part"""
 )
 def warp_roundtrip(spark, sf_dir):
@@ -474,8 +474,8 @@ def warp_roundtrip(spark, sf_dir):
 
 
 @query(
-    """select p_partkey, round(least(greatest(p_size, 10 + greatest(0.001, 0.25 * p_partkey % 7)), 40 - greatest(0.001, 0.25 * p_partkey % 7)), 6) as mu,
-round(case when 24.5 + greatest(0.001, 0.25 * (p_partkey % 7)) > 25.5 - greatest(0.001, 0.25 * (p_partkey % 7)) then 25.0 else least(greatest(p_size, 24.5 + greatest(0.001, 0.25 * (p_partkey % 7))), 25.5 - greatest(0.001, 0.25 * (p_partkey % 7))) end, 6) as narrow from part""".replace("0.25 * p_partkey % 7", "0.25 * (p_partkey % 7)")
+    """select p_partkey, round(least(greatest(p_size::double, 10 + greatest(0.001, 0.25 * p_partkey % 7)), 40 - greatest(0.001, 0.25 * p_partkey % 7)), 6) as mu,
+round(case when 24.5 + greatest(0.001, 0.25 * (p_partkey % 7)) > 25.5 - greatest(0.001, 0.25 * (p_partkey % 7)) then 25.0::double else least(greatest(p_size::double, 24.5 + greatest(0.001, 0.25 * (p_partkey % 7))), 25.5 - greatest(0.001, 0.25 * (p_partkey % 7))) end, 6) as narrow from part""".replace("0.25 * p_partkey % 7", "0.25 * (p_partkey % 7)")
 )
 def project_mean(spark, sf_dir):
     mu, se = F.col("p_size").cast("double"), (F.col("p_partkey") % 7).cast("double")
@@ -490,7 +490,7 @@ def _ackley_sql(parts: list[str]) -> str:
     return ACK.format(a=" + ".join(f"({p} - 1) * ({p} - 1)" for p in parts), b=" + ".join(f"cos(2 * pi() * ({p} - 1))" for p in parts), n=len(parts))
 
 
-@query(f"select p_partkey, round({_ackley_sql(['p_size / 10.0', 'p_retailprice / 1000.0', '0.5'])}, 6) as y, round(-{_ackley_sql(['p_size / 10.0', '0.5'])}, 6) as left_half, round(500000.0 - 8.0 * pow(p_size - 120.0, 2), 6) as s0, round(12.5 - 110.0 * pow(p_retailprice / 1000.0 - 0.91, 2), 6) as s1 from part")
+@query(f"select p_partkey, round({_ackley_sql(['p_size / 10.0', 'p_retailprice / 1000.0', '0.5'])}, 6) as y, round(-{_ackley_sql(['p_size / 10.0', '0.5'])}, 6) as left_half, round(500000.0::double - 8.0::double * (p_size - 120.0::double) * (p_size - 120.0::double), 6) as s0, round(12.5::double - 110.0::double * (p_retailprice / 1000.0::double - 0.91::double) * (p_retailprice / 1000.0::double - 0.91::double), 6) as s1 from part")
 def ackley(spark, sf_dir):
     a, b = F.col("p_size") / 10.0, F.col("p_retailprice") / 1000.0
     half, other = F.lit(0.5), F.col("p_size").cast("double")
@@ -509,7 +509,7 @@ def erf(spark, sf_dir):
 # ------------------------------------------------------------------ encoding
 
 
-@query("select p_partkey, j as slot, case when j = p_partkey % 7 then 10.0 else 0.0 end::double as value from part, (select unnest(range(0, 7)) as j)")
+@query("select p_partkey, j::int as slot, case when j = p_partkey % 7 then 10.0 else 0.0 end::double as value from part, (select unnest(range(0, 7)) as j)")
 def onehot(spark, sf_dir):
     code = encode.one_hot_column((F.col("p_partkey") % 7).cast("int"), 7)
     return table(spark, sf_dir, "part").select("p_partkey", F.posexplode(code).alias("slot", "value"))
@@ -523,7 +523,7 @@ def id_hash_sql(source: str, ident: str, variable: int, seed: int, out: str) ->
 {out}_t as (select * exclude (z2), xor(z2, z2 >> 31) as {out} from {out}_c)"""
 
 
-@query(f"with src as (select p_partkey from part), {id_hash_sql('src', 'p_partkey', 0, 5, 'h')} select p_partkey, j as bit, round(case when (h >> j) & 1 = 1 then 10.0 / sqrt(8) else -10.0 / sqrt(8) end, 6) as value from h_t, (select unnest(range(0, 8)) as j)")
+@query(f"with src as (select p_partkey from part), {id_hash_sql('src', 'p_partkey', 0, 5, 'h')} select p_partkey, j::int as bit, round(case when (h >> j) & 1 = 1 then 10.0 / sqrt(8) else -10.0 / sqrt(8) end, 6) as value from h_t, (select unnest(range(0, 8)) as j)")
 def sign_codes(spark, sf_dir):
     code = encode.sign_code_column(F.col("p_partkey"), 0, 8, 5)
     return rounded(table(spark, sf_dir, "part").select("p_partkey", F.posexplode(code).alias("bit", "value")), "value")
@@ -531,7 +531,7 @@ def sign_codes(spark, sf_dir):
 
 @query(
     f"""with src as (select p_partkey, p_size from part), {id_hash_sql('src', 'p_partkey', 0, 0, 'h')}, {id_hash_sql('h_t', 'p_size', 1, 0, 'g')}
-select p_partkey, j as bucket, round((case when h % 6 = j then case when h >> 63 = 1 then 1 else -1 end else 0 end + case when g % 6 = j then case when g >> 63 = 1 then 1 else -1 end else 0 end) / sqrt(2), 6) + 0.0 as value from g_t, (select unnest(range(0, 6)) as j)"""
+select p_partkey, j::int as bucket, round((case when h % 6 = j then case when h >> 63 = 1 then 1 else -1 end else 0 end + case when g % 6 = j then case when g >> 63 = 1 then 1 else -1 end else 0 end) / sqrt(2), 6) + 0.0 as value from g_t, (select unnest(range(0, 6)) as j)"""
 )
 def hash_features(spark, sf_dir):
     code = encode.hash_columns([F.col("p_partkey"), F.col("p_size")], 6)

@@ -297,3 +297,20 @@ def test_weighting_learns(make):
     again = nf.EpistemicNearestNeighbors.open(m.store.path, m.spark)
     assert again.metric.weights.tolist() == weights.tolist() and again.metric.num_seen == 130
     again.close()
+
+
+def test_distances_are_padded(make):
+    m = make(CORNERS[:2], VALUES[:2])
+    d2, ids = m.neighbor_distances_and_indices([[0.0, 0.0]], 4)
+    assert d2.tolist() == [[0.0, 1.0, np.inf, np.inf]] and ids.tolist() == [[0, 1, 1, 1]]
+    assert m.neighbor_distances_and_indices([[0.0, 0.0]], 3, pad_with_last=False)[1].tolist() == [[0, 1, -1]]
+
+
+def test_one_short_query_can_shorten_all(spark):
+    from nearfield.operators.posterior import posterior
+
+    rows = [(i, [i + 0.1 * j for j in range(2)], [float(i)], [0.01]) for i in range(10)]
+    o = spark.createDataFrame(rows, "row_id long, x array<double>, y array<double>, yvar array<double>")
+    q = spark.createDataFrame([(i, [i + 0.1 * j for j in range(2)]) for i in range(5)] + [(100 + i, [100.0 + i, 100.1 + i]) for i in range(5)], "query_id long, x array<double>")
+    counts = lambda **k: {r["n_neighbors"] for r in posterior(q, o, 10, exclude_nearest=True, **k).collect()}
+    assert counts() == {9, 10} and counts(strict_batch_k=True) == {9}

@@ -217,3 +217,17 @@ def test_stream_ingest(spark, tmp_path, sf):
     assert tuple(ids) == (events.count(), 0, events.count() - 1)
     a = {r["event_id"] for r in bottom_k(events, "event_id", 50, 1).collect()}
     assert a == {r["event_id"] for r in bottom_k(events.repartition(7), "event_id", 50, 1).collect()} and len(a) == 50
+
+
+def test_open_replays_rows_beyond_the_state(spark, tmp_path):
+    o = nf.create_optimizer(bounds=BOX, config=CONFIGS["pareto"], seed=4, work_dir=tmp_path / "p", spark=spark)
+    run(o, 2)
+    state = o.files.read(f"{o.path}/state.json")
+    x = o.ask(2)
+    o.tell(x, objective(x))
+    best, length = o.best_y.copy(), o.tr_length
+    o.close()
+    o.files.replace(f"{o.path}/state.json", state)
+    again = nf.Optimizer.open(tmp_path / "p", spark)
+    assert again.tr_obs_count == 8 and (again.best_y == best).all() and again.tr_length == length
+    again.close()
