@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from nearfield.llm.shared import prepare
+from nearfield.llm.shared import prepare, spread
 
 #: Distinct chunks and token pairs that a worker remembers before it forgets them all; only speed
 #: depends on it.
@@ -268,7 +268,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             arrays = [batch.column(0), pa.array(n, pa.int64())] + [pa.array(ids, pa.list_(pa.int32()))] * with_ids + [pa.array(a, pa.string()), pa.array(b, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return spread(docs.select(id_col, text_col)).mapInArrow(run, schema)
 
 
 def decode_ids(path: str, ids: list[int]) -> str:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from nearfield.llm.shared import prepare
+from nearfield.llm.shared import prepare, spread
 
 PATH, WORD, COUNTS = 96, 48, 8
 WIDTH = PATH + WORD + COUNTS
@@ -460,4 +460,4 @@ def main_text(pages: DataFrame, id_cols: tuple[str, ...] = ("page_id", "url"), h
                 texts = extract(model, [x or "" for x in part.column(k).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns[:k], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
-    return pages.select(*id_cols, html_col).mapInArrow(run, schema)
+    return spread(pages.select(*id_cols, html_col)).mapInArrow(run, schema)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.eliasfano import Trie
 from nearfield.llm.quality import blocks
-from nearfield.llm.shared import mix64, pack_ints, partitions, prepare, spread_keys, unpack_ints
+from nearfield.llm.shared import mix64, pack_ints, partitions, prepare, spread, spread_keys, unpack_ints
 
 U = np.uint64
 #: Hashes of the two tokens that are no words.
@@ -271,7 +271,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             "base_score": base - tokens * np.log10(mass), "score": value,
         })
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), text_col)
+    source = spread(docs.select(F.col(id_col).cast("long").alias("id"), text_col))
     messages = source.mapInArrow(send, "shard int, block long, head boolean, message binary").repartition(wide, "shard")
     asked = messages.groupBy("shard").applyInPandas(ask, "owner int, shard int, message binary").repartition(wide, "owner")
     replied = asked.groupBy("owner").applyInPandas(reply, "shard int, owner int, message binary, stats array<double>")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfield.llm.shared import WordIds, dropped, prepare, written
+from nearfield.llm.shared import WordIds, dropped, prepare, spread, written
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -182,7 +182,7 @@ def learn_references(docs: DataFrame, text_col: str = "text", lang_col: str = "l
                     yield from out()
         yield from out()
 
-    parts = docs.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).mapInArrow(run, "lang string, word binary, share double")
+    parts = spread(docs.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))).mapInArrow(run, "lang string, word binary, share double")
     total = parts.groupBy("lang", "word").agg(F.sum("share").alias("share"))
     # a common word of any language reaches COMMON_SHARE of its one document at least
     total = written(total.where(F.col("word").isNull() | (F.col("share") >= COMMON_SHARE)), "quality")
@@ -305,7 +305,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(out[f.name]) for f in schema.fields[1:]]], names=schema.names)
 
     ids = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
-    return ids.mapInArrow(run, schema)
+    return spread(ids).mapInArrow(run, schema)
 
 
 def kept_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", limits: Limits = Limits(), refs: References | None = None) -> DataFrame:
@@ -322,4 +322,4 @@ def kept_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
                 out = judge(batch.column(text_at).cast(pa.binary()), langs, refs, limits)
                 yield batch.filter(pa.array(out["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)

@@ -8,11 +8,11 @@ import os
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from nearfield.sources.scratch import dropped, written
 
-__all__ = ["WordIds", "dropped", "mix64", "pack_ints", "pack_sorted", "partitions", "prepare", "spread_keys", "unpack_ints", "unpack_sorted", "words_of", "written"]
+__all__ = ["WordIds", "dropped", "mix64", "pack_ints", "pack_sorted", "partitions", "prepare", "spread", "spread_keys", "unpack_ints", "unpack_sorted", "words_of", "written"]
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -25,6 +25,15 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *have])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows anew where they come in fewer partitions than there are cores, as a small file
+    with one row group does; inputs of any size worth a cluster stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df  # counting the partitions would run what is before the exchange
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from nearfield.llm.components import connected_components
-from nearfield.llm.shared import partitions, prepare, written
+from nearfield.llm.shared import partitions, prepare, spread, written
 
 RADIUS = 2
 SHINGLE = 3
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = fold([np.array(shingle_hashes(t.as_py() or b""), dtype=np.uint64) for t in texts])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return spread(docs.select(id_col, text_col)).mapInArrow(run, schema)
 
 
 BLOCKS = ((0, 21), (21, 42), (42, 64))

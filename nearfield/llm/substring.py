@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearfield.llm.quality import Block, blocks
-from nearfield.llm.shared import mix64, pack_ints, pack_sorted, partitions, prepare, spread_keys, unpack_ints, unpack_sorted, written
+from nearfield.llm.shared import mix64, pack_ints, pack_sorted, partitions, prepare, spread, spread_keys, unpack_ints, unpack_sorted, written
 
 WINDOW = 13
 INNER = 5
@@ -171,7 +171,7 @@ class SubstringIndex:
                     if out is not None:
                         yield out
 
-        fresh = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), text_col).mapInArrow(entries, ENTRY)
+        fresh = spread(docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), text_col)).mapInArrow(entries, ENTRY)
         for run in self.runs():
             fresh = fresh.unionByName(_as_history(run))
         merged = written(fresh.repartition(self.shards, "shard").groupBy("shard").applyInPandas(merge_shard, MERGED), "substring-run")
