@@ -119,14 +119,14 @@ def blocks(texts: pa.Array, most: int = 500_000) -> Iterator[Block]:
         if k == len(texts) or total >= most:
             if held:
                 counts = np.array([len(x) for x in lists], np.int64)
-                ids = np.concatenate([np.array(x, np.int64) for x in lists]) if total else np.zeros(0, np.int64)
+                ids = np.concatenate(lists) if total else np.zeros(0, np.int64)
                 yield Block(range(start, k), held, counts, ids, np.repeat(np.arange(len(held)), counts), words)
             start, held, lists, words, total = k, [], [], WordIds(), 0
             if k == len(texts):
                 return
         text = texts[k].as_py() or b""
         held.append(text)
-        lists.append(words.of(text.split()))
+        lists.append(np.array(words.of(text.split()), np.int64))
         total += len(lists[-1])
 
 
