@@ -2,7 +2,8 @@
 
 A page becomes its sequence of leaf blocks in page order: runs of text between block-level tags.
 A leaf's vector holds its hashed tag path (names, and the words of class, id and role), its
-hashed words and a few counts.  A bidirectional LSTM in numpy reads the whole sequence, so every
+hashed words and a few counts, all of them over the whole path and the whole text, however deep
+or long.  A bidirectional LSTM in numpy reads the whole sequence, so every
 block is labelled with the context of the whole document, and the blocks labelled as main text
 are joined.
 
@@ -127,30 +128,32 @@ def leaves(page: str) -> list[Leaf]:
     return out
 
 
+def digits(text: str) -> int:
+    return sum(map(text.count, "0123456789")) if text.isascii() else sum(map(str.isdigit, text))
+
+
 def features(blocks: list[Leaf]) -> np.ndarray:
     x = np.zeros((len(blocks), WIDTH), np.float32)
     n = len(blocks)
-    paths: dict[tuple[str, ...], tuple[list[int], list[float]]] = {}
+    paths: dict[tuple[str, ...], list[int]] = {}
     for k, b in enumerate(blocks):
         if (held := paths.get(b.path)) is None:
-            ids = [crc32(t.encode()) % PATH for t in b.path[-24:]]
-            held = paths[b.path] = (ids, [1.0] * len(ids))
+            held = paths[b.path] = [crc32(t.encode()) % PATH for t in set(b.path)]
         row = x[k]
-        row[held[0]] = 1.0
+        row[held] = 1.0
         words = b.text.lower().split()
-        some = [PATH + crc32(w.encode()) % WORD for w in words[:400]]
-        np.add.at(row, some, 1.0)
-        row[PATH : PATH + WORD] = np.log1p(row[PATH : PATH + WORD]) * 0.3
+        bins = np.bincount([crc32(w.encode()) % WORD for w in words], minlength=WORD)
+        row[PATH : PATH + WORD] = np.log1p(bins) * 0.3
         size = len(b.text)
         row[PATH + WORD :] = (
             np.log1p(size) / 8,
             np.log1p(len(words)) / 6,
             b.linked / max(size, 1),
             sum(map(b.text.count, ".!?")) / max(len(words), 1),
-            sum(c.isdigit() for c in b.text[:2000]) / max(min(size, 2000), 1),
+            digits(b.text) / max(size, 1),
             float(size > 0 and b.text[-1] in ".!?:;\"'”»"),
             k / max(n - 1, 1),
-            len(b.path) / 16,
+            np.log1p(len(b.path)) / 4,
         )
     return x
 
@@ -365,7 +368,7 @@ def training_pages(n: int, seed: int = SEED) -> Iterator[tuple[str, list[str]]]:
 
         def paragraph() -> str:
             r = rng.random()
-            k = int(pick([3, 8, 15, 30, 60, 120, 200]))
+            k = int(pick([3, 8, 15, 30, 60, 120, 200])) if some(0.99) else int(rng.integers(400, 4000))
             if r < 0.74:
                 return f"<p>{said(k)}</p>" if some(0.9) else f"<p>{said(k)}"
             if r < 0.80:
@@ -393,6 +396,9 @@ def training_pages(n: int, seed: int = SEED) -> Iterator[tuple[str, list[str]]]:
             article = f"<div{attrs(BODY)}>" + "".join(body) + "</div>"
         if some(0.3):
             article = f"<div{attrs(BODY + ['wrap', 'container', 'row'])}>{article}</div>"
+        if some(0.2):
+            for _ in range(int(rng.integers(3, 15))):
+                article = f'<div class="{pick(["wrap", "container", "row", "col", "inner"])} {word()}">{article}</div>'
         before, after = [], []
         if some(0.6):
             before.append(box("nav", NAV, link_list(int(rng.integers(2, 9)))))
@@ -408,6 +414,9 @@ def training_pages(n: int, seed: int = SEED) -> Iterator[tuple[str, list[str]]]:
             (before if some(0.5) else after).append(f"<form{attrs(NOTE + NAV)}><label>{words(2)}</label><input><p>{sentence(5)}</p><button>{word()}</button></form>")
         if some(0.3):
             talk = "".join(f"<{pick(['div', 'li', 'article'])} class=\"{pick(['comment', 'reply', 'c', 'item'])}\"><b>{word()}</b><p>{sentence(int(rng.integers(2, 40)))}</p></div>" for _ in range(int(rng.integers(1, 6))))
+            if some(0.5):  # replies within replies
+                for _ in range(int(rng.integers(2, 20))):
+                    talk = f'<div class="{pick(["comment", "reply", "c", "item", "level", "children"])} {word()}"><p>{sentence(int(rng.integers(2, 40 if some(0.95) else 800)))}</p>{talk}</div>'
             after.append(box("section", TALK, f"<h3>{words(1)}</h3>" + talk))
         foot = box("footer", FOOT, pick([f"&copy; {word()}.example &middot; {sentence(5)}", link_list(4), f"<p>{sentence(8)}</p>"])) if some(0.75) else ""
         head = f'<!DOCTYPE html><html lang="{pick(["en", "de", "fr", "es"])}"><head><meta charset="utf-8"><title>{words(4)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>'

@@ -42,6 +42,27 @@ def test_labeller_held_out():
     assert got.mean() > 0.97
 
 
+def deep_page(outer: str, levels: int = 12) -> str:
+    story = " ".join(f"river{chr(97 + i % 26)} word" + "." * (i % 9 == 8) for i in range(2500))
+    replies = "".join('<div class="item level depth"><p>I quite agree with what was said above.</p>' for _ in range(levels)) + "</div>" * levels
+    return f'<html><head><title>t</title></head><body><article><h1>A story of rivers</h1><p>{story}</p><p>It ends where it began, by the sea.</p></article><section class="{outer}">{replies}</section></body></html>'
+
+
+def test_features_read_whole_blocks_and_paths():
+    last = [htmlblocks.features(htmlblocks.leaves(deep_page(c)))[-1] for c in ("comments", "article")]
+    assert (last[0] != last[1]).any()
+    short, long = (htmlblocks.features(htmlblocks.leaves(f"<p>{'word ' * 400}{tail}</p>"))[0] for tail in ("word " * 4600, "other 12345 " * 2300))
+    bins = slice(htmlblocks.PATH, htmlblocks.PATH + htmlblocks.WORD)
+    assert (short[bins] > 0).sum() == 1 and (long[bins] > 0).sum() == 3
+    assert short[htmlblocks.PATH + htmlblocks.WORD + 4] == 0 < long[htmlblocks.PATH + htmlblocks.WORD + 4]
+
+
+def test_long_block_stays_and_deep_comments_go():
+    for outer in ("comments", "sidebar", "footer"):
+        text = htmlblocks.extract(htmlblocks.trained(), [deep_page(outer)])[0]
+        assert len(text.split()) == 4 + 5000 + 8 and "agree" not in text
+
+
 def test_labeller_on_tables(spark, sf):
     import re
 
