@@ -34,9 +34,9 @@ PAGES, EPOCHS, SEED = 1600, 14, 3
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements whose content is no text of the page.
-OPAQUE = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "textarea", "select", "title", "head")
+OPAQUE = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "textarea", "select", "title")
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select|title)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select|title)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*>|<(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.DOTALL | re.IGNORECASE,
 )
@@ -55,11 +55,13 @@ class Leaf:
 
 def leaves(page: str) -> list[Leaf]:
     """The text blocks of a page in order: references decoded, white space turned into single
-    spaces, blank blocks left out.  Unclosed tags, stray ends and raw text elements are allowed."""
+    spaces, blank blocks left out.  Unclosed tags, stray ends and raw text elements are allowed.
+    What a head may hold is opaque or void, so text after ``<head>`` is the body's, as in browsers,
+    whether or not the optional ``</head>`` and ``<body>`` are there."""
     out: list[Leaf] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     buffer: list[str] = []
-    in_head = linked = anchors = 0
+    linked = anchors = 0
 
     def path() -> tuple[str, ...]:
         return tuple(x for _, tokens in stack for x in tokens)
@@ -75,7 +77,7 @@ def leaves(page: str) -> list[Leaf]:
 
     def add(raw: str) -> None:
         nonlocal linked
-        if raw and not in_head:
+        if raw:
             text = html.unescape(raw) if "&" in raw else raw
             buffer.append(text)
             if anchors:
@@ -98,7 +100,7 @@ def leaves(page: str) -> list[Leaf]:
         elif name == "br":
             buffer.append(" ")
         elif name == "head":
-            in_head = 0 if m["close"] else 1
+            continue
         elif m["close"]:
             flush()
             if name == "body" or name == "html":
@@ -110,8 +112,6 @@ def leaves(page: str) -> list[Leaf]:
                     break
         else:
             flush()
-            if name == "body":
-                in_head = 0
             if name in VOID or m["attrs"].rstrip().endswith("/"):
                 continue
             if shut := CLOSES.get(name):

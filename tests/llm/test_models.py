@@ -17,6 +17,22 @@ def test_leaves_of_broken_pages():
     assert [b.text for b in htmlblocks.leaves("<script>open forever <p>x")] == []
 
 
+def test_leaves_without_optional_tags():
+    def texts(page):
+        return [b.text for b in htmlblocks.leaves(page)]
+
+    head = '<html><head><meta charset="utf-8"><title>t</title><style>p{}</style><script>var a="<p>";</script><noscript>n</noscript><link href="x">\n'
+    assert texts(head + "<p>article</p><p>more") == ["article", "more"]
+    assert texts(head + "article <b>in</b> bare text<p>more") == ["article in bare text", "more"]
+    assert texts(head + "<body><p>article") == texts(head + "</head><body><p>article") == texts(head + "</head><p>article") == ["article"]
+    for empty in ('<svg class="i" viewBox="0 0 1 1"/>', "<svg/>", "<math />", '<svg\ndata-x="a>b" />'):
+        assert texts(f"<p>before {empty}after</p><p>next</p><svg><path d=''/>no</svg><p>last</p>") == ["before after", "next", "last"]
+    assert texts("<p>a</p><svg><g/><svg/>no</svg><math>x</math><p>b</p>") == ["a", "b"]
+    model = htmlblocks.trained()
+    story = "<article>" + "<p>The river went on past the old town.</p>" * 5 + "</article>"
+    assert htmlblocks.extract(model, [head + story])[0].count("river") == htmlblocks.extract(model, [f"<body><svg/>{story}</body>"])[0].count("river") == 5
+
+
 def test_gradients_are_right():
     rng = np.random.default_rng(0)
     m = htmlblocks.BiLstm(width=5, hidden=3)
