@@ -9,6 +9,7 @@ unstable histograms; each comparison has a minimum length below which it gives n
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,9 @@ MAX_REPEAT_PERCENT = 20
 SYMBOLS = b"#*$%&|<>"
 #: A common word has at least this mean share of its language's documents: 1000 words at most.
 COMMON_SHARE = 0.001
-#: Languages with a smaller share of the documents are no references: 100 languages at most.
+#: Languages with fewer documents have no reference of their own.
+REFERENCE_DOCS = 10
+#: Languages with at least this share of the documents are references for documents of all languages.
 LANGUAGE_SHARE = 0.01
 #: Documents shorter than this don't shape a reference.
 REFERENCE_WORDS = 20
@@ -132,13 +135,14 @@ def blocks(texts: pa.Array, most: int = 500_000) -> Iterator[Block]:
 
 @dataclass
 class References:
-    """Class shares and common-word shares of the reference languages; at most 100 languages of
-    1000 words, whatever the corpus."""
+    """Class shares and common-word shares of the reference languages: 1000 words at most of each
+    language with ``REFERENCE_DOCS`` documents, however many documents there are."""
 
     languages: list[str]
+    broad: list[bool]  # whether documents of other languages are compared with it too
     classes: np.ndarray  # (languages, classes)
     common: dict[bytes, int]  # word -> column
-    words: np.ndarray  # (languages, columns + 1), last column: all other words
+    words: list[tuple[np.ndarray, np.ndarray]]  # columns and shares of each language's common words
 
 
 def learn_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> References:
@@ -147,7 +151,8 @@ def learn_references(docs: DataFrame, text_col: str = "text", lang_col: str = "l
 
     Each task sums (language, key) pairs: words with their shares, a class with its share's bin
     (such a key starts with a space, as no word does), and a null key that counts documents.
-    Only the bins and the common words of reference languages reach the driver.
+    Only the bins and the common words of reference languages reach the driver: those with
+    ``REFERENCE_DOCS`` such documents, so no other language's rows take a reference away.
     """
     prepare(docs.sparkSession)
 
@@ -188,31 +193,36 @@ def learn_references(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     total = written(total.where(F.col("word").isNull() | (F.col("share") >= COMMON_SHARE)), "quality")
     counts = total.where("word is null")
     all_docs = counts.agg(F.sum("share")).first()[0] or 0.0
-    n_docs = {r["lang"]: r["share"] for r in counts.where(F.col("share") >= LANGUAGE_SHARE * all_docs).collect()} if all_docs else {}
+    enough = counts.where(F.col("share") >= REFERENCE_DOCS).select("lang", F.col("share").alias("docs"))
+    n_docs = {r["lang"]: r["docs"] for r in enough.collect()}
     languages = sorted(n_docs)
-    number = {lang: k for k, lang in enumerate(languages)}
-    bins = np.zeros((len(languages), CONTINUED, BINS + 1))
+    bins = np.zeros((CONTINUED, BINS + 1))
+    classes = np.zeros((len(languages), CONTINUED))
     common: dict[bytes, int] = {}
-    found: list[tuple[int, int, float]] = []
-    if languages:
-        least = F.create_map(*[F.lit(x) for lang in languages for x in (lang, COMMON_SHARE * n_docs[lang])])
-        wanted = F.col("lang").isin(languages) & F.col("word").isNotNull() & ((F.col("share") >= least[F.col("lang")]) | (F.substring("word", 1, 1) == F.lit(b" ")))
-        for r in sorted(total.where(wanted).collect(), key=lambda r: (r["lang"], bytes(r["word"]))):
-            k, w = number[r["lang"]], bytes(r["word"])
+    words: list[tuple[np.ndarray, np.ndarray]] = []
+    is_bin = F.substring("word", 1, 1) == F.lit(b" ")
+    wanted = total.where(F.col("word").isNotNull()).join(F.broadcast(enough), "lang").where(is_bin | (F.col("share") >= COMMON_SHARE * F.col("docs")))
+    found = wanted.select("lang", "word", "share").toArrow().combine_chunks().sort_by([("lang", "ascending"), ("word", "ascending")])
+    dropped(total)
+    sizes = Counter(found.column("lang").to_pylist())
+    at = 0
+    for k, lang in enumerate(languages):
+        part = found.slice(at, sizes[lang])
+        at += sizes[lang]
+        bins[:] = 0
+        columns, shares = [], []
+        for w, share in zip(part.column("word").to_pylist(), part.column("share").to_pylist()):
             if w[:1] == b" ":
-                bins[k, w[1], int.from_bytes(w[2:], "big")] = r["share"]
+                bins[w[1], int.from_bytes(w[2:], "big")] = share
             else:
-                found.append((k, common.setdefault(w, len(common)), r["share"] / n_docs[r["lang"]]))
-    dropped(total)
-    upto = bins.cumsum(axis=2)
-    median = (upto < upto[:, :, -1:] / 2).sum(axis=2) + 0.5 if languages else np.zeros((0, CONTINUED))
-    median[median < 1] = 0.25  # most documents have hardly any of the class
-    classes = median / np.maximum(median.sum(axis=1, keepdims=True), 1e-300) if languages else median
-    words = np.zeros((len(languages), len(common) + 1))
-    for k, column, share in found:
-        words[k, column] = share
-    words[:, -1] = np.maximum(0.0, 1.0 - words[:, :-1].sum(axis=1))
-    return References(languages, classes, common, words)
+                columns.append(common.setdefault(w, len(common)))
+                shares.append(share / n_docs[lang])
+        words.append((np.array(columns, np.int64), np.array(shares)))
+        upto = bins.cumsum(axis=1)
+        median = (upto < upto[:, -1:] / 2).sum(axis=1) + 0.5
+        median[median < 1] = 0.25  # most documents have hardly any of the class
+        classes[k] = median / median.sum()
+    return References(languages, [n_docs[x] >= LANGUAGE_SHARE * all_docs for x in languages], classes, common, words)
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -226,6 +236,16 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, (kl(p) + kl(q)) / 2))
 
 
+def word_distances(doc: np.ndarray, column: np.ndarray, p: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
+    """:func:`js_distance` of ``n`` documents from ``q``, given their (document, column) shares
+    ``p`` that aren't zero: where a document has none, ``q`` counts in full."""
+    there = q[column]
+    m = (p + there) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        both = p * np.log2(p / m) + np.where(there > 0, there * np.log2(there / m), 0.0) - there
+    return np.sqrt(np.maximum(0.0, (np.bincount(doc, both, minlength=n) + q.sum()) / 2))
+
+
 @dataclass(frozen=True)
 class Limits:
     """A document is kept if its nearest reference is within both distances."""
@@ -245,7 +265,7 @@ def rule_schema(id_field: T.StructField) -> T.StructType:
 def judge(texts: pa.Array, langs: list[str | None], refs: References, limits: Limits) -> dict[str, np.ndarray]:
     """The columns of :func:`rule_schema` but the id, for a batch of texts."""
     parts: list[dict[str, np.ndarray]] = []
-    known = set(refs.languages)
+    known = {lang: k for k, lang in enumerate(refs.languages)}
     for block in blocks(texts):
         n = len(block.texts)
         hist = np.stack([class_counts(t) for t in block.texts])
@@ -263,24 +283,30 @@ def judge(texts: pa.Array, langs: list[str | None], refs: References, limits: Li
         by_class = np.zeros(n)
         by_word = np.zeros(n)
         if refs.languages:
+            by_class[:] = by_word[:] = np.inf
+            own = np.array([known.get(langs[r], -1) for r in block.rows])
             share = chars / np.maximum(n_chars, 1)[:, None]
-            by_class = js_distance(share[:, None, :], refs.classes[None]).min(axis=1)
             column = np.full(max(1, len(block.words.ids)), len(refs.common))
             for w, i in block.words.ids.items():
                 column[i] = refs.common.get(w, len(refs.common))
             width = len(refs.common) + 1
-            for a in range(0, n, 256):
-                rows = slice(a, min(n, a + 256))
-                lo, hi = np.searchsorted(block.doc, [rows.start, rows.stop])
-                key = (block.doc[lo:hi] - rows.start) * width + column[block.ids[lo:hi]]
-                counts = np.bincount(key, minlength=(rows.stop - rows.start) * width).reshape(-1, width)
-                p = counts / np.maximum(counts.sum(axis=1), 1)[:, None]
-                by_word[rows] = np.min([js_distance(p, q) for q in refs.words], axis=0)
+            key, counts = np.unique(block.doc * width + column[block.ids], return_counts=True)
+            doc, column = key // width, key % width
+            p = counts / block.counts[doc]
+            for k, (columns, shares) in enumerate(refs.words):
+                mine = refs.broad[k] | (own == k) | (own < 0)
+                if not mine.any():
+                    continue
+                by_class[mine] = np.minimum(by_class[mine], js_distance(share[mine], refs.classes[k]))
+                q = np.zeros(width)
+                q[columns] = shares
+                q[-1] = max(0.0, 1.0 - q.sum())
+                some = mine[doc]
+                by_word[mine] = np.minimum(by_word[mine], word_distances(doc[some], column[some], p[some], q, n)[mine])
         out["class_distance"], out["word_distance"] = by_class, by_word
-        foreign = np.array([langs[r] is not None and langs[r] not in known for r in block.rows], bool)
         bad = (n_chars >= limits.class_min_chars) & (by_class > limits.class_distance)
         bad |= (block.counts >= limits.word_min_words) & (by_word > limits.word_distance)
-        out["kept"] = ~out["base_failed"] & ~(bad & ~foreign)
+        out["kept"] = ~out["base_failed"] & ~bad
         parts.append(out)
     return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
 
@@ -289,9 +315,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per row of ``docs``: the id, the counts, both distances and the verdict ``kept``.
 
     A null text is the empty one: no words, base_failed.  Documents below a minimum length pass
-    that comparison.  A null language is compared with all references; a language that is given
-    but too rare to have a reference gets no verdict from them and stays unless the base rules
-    fail.  Ids may be null or repeated; extra columns are not read.  An empty table gives an empty
+    that comparison.  A document is compared with its own language's reference and those of the
+    languages with ``LANGUAGE_SHARE`` of the documents; one whose language is null or too rare to
+    have a reference, with all references.  Ids may be null or repeated; extra columns are not read.  An empty table gives an empty
     result and no references.  Rows are independent: there is no shuffle but for the references.
     """
     prepare(docs.sparkSession)

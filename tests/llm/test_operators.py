@@ -259,6 +259,37 @@ def test_quality_verdict_on_labels(spark):
     assert share[1] > 0.99 and share[0] < 0.05
 
 
+def test_rare_languages_get_a_verdict(spark):
+    rng = np.random.default_rng(4)
+    stems = {"en": "the of and river to in stone is that field", "nl": "het een van water dat niet huis zijn voor straat", "qq": "ma ki lo pua wai nui hale moku lani aina"}
+
+    def good(lang):
+        words = stems[lang].split()
+        return " ".join(words[k] + ("." if j % 9 == 8 else "") for j, k in enumerate(rng.integers(0, len(words), 80)))
+
+    def junk():
+        return " ".join("#$%|" + str(k) + "|<>" for k in rng.integers(0, 10**6, 80))
+
+    rare = [(i, good("nl"), "nl") for i in range(30)] + [(100 + i, junk(), "nl") for i in range(3)]
+    rare += [(200, junk(), "e n"), (201, junk(), "zz"), (202, good("en"), "zz"), (203, good("nl"), None), (204, junk(), None), (205, good("qq"), "en")]
+    many = [(1000 + i, good("en"), "en") for i in range(4000)]
+    for rows in (rare + many[:100], rare + many):  # nl has 24 % of the documents, then 0.8 %
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+        got = {r["doc_id"]: r["kept"] for r in quality.quality_rules(df).where("not base_failed and doc_id < 1000").collect()}
+        assert got == {i: i < 100 or i in (202, 203) for i, _, _ in rare}
+    refs = quality.learn_references(df)
+    assert refs.languages == ["en", "nl"] and refs.broad == [True, False]
+
+
+def test_word_distances():
+    rng = np.random.default_rng(5)
+    p, q = rng.random((6, 9)) * (rng.random((6, 9)) < 0.5), rng.random(9) * (rng.random(9) < 0.6)
+    p[2] = 0
+    p, q = p / np.maximum(p.sum(axis=1, keepdims=True), 1e-9), q / q.sum()
+    doc, column = np.nonzero(p)
+    assert quality.word_distances(doc, column, p[doc, column], q, 6) == pytest.approx(quality.js_distance(p, q))
+
+
 def test_js_distance():
     p, q = np.array([0.5, 0.5, 0.0]), np.array([0.0, 0.5, 0.5])
     m = (p + q) / 2
