@@ -358,6 +358,17 @@ def test_embeddings_edges(spark, monkeypatch):
     assert embed_dedup.recall_of(0.98) > 0.9999
 
 
+def test_embeddings_recall():
+    assert embed_dedup.recall_of(embed_dedup.THRESHOLD) >= embed_dedup.recall_of(0.98, 14, 24) > 0.99999
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((20_000, 64))
+    y = rng.standard_normal((20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.98 * x + math.sqrt(1 - 0.98**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    assert (embed_dedup.sign_codes(x) == embed_dedup.sign_codes(y)).any(axis=1).sum() >= 19_999
+
+
 # ---- 9
 
 
