@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -35,11 +37,11 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements whose content is no text of the page.
 OPAQUE = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "textarea", "select", "title")
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select|title)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<[!?][^>]*>|<(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.DOTALL | re.IGNORECASE,
-)
+#: Of these, the ones that hold the rest of the page if nothing ends them, as in browsers.
+RAW = frozenset(("script", "style", "textarea", "title", "iframe"))
+SHUT = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.IGNORECASE) for name in OPAQUE}
+NAME = re.compile(r"[^\s/>]*")
+STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?", re.IGNORECASE)
 #: A block of these starts afresh what an unclosed one of the same kind held open.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
@@ -48,31 +50,77 @@ SPACE = re.compile(r"\s+")
 
 @dataclass
 class Leaf:
-    path: tuple[str, ...]  # tag names and name.word tokens from the root
+    path: int  # a bit for the bin of each token (tag name, name:word) from the root
+    depth: int  # number of these tokens
     text: str
     linked: int  # code points inside links
 
 
+def tag_end(page: str, at: int) -> int:
+    """The place of the ``>`` that ends a tag whose name ends at ``at``, or -1 if there is none.
+
+    A quote after ``=`` hides what is up to the same quote.  It counts as left open where there is
+    no such quote, or where a ``>`` comes before one that no space, ``/`` or ``>`` follows (it then
+    begins another value); the tag ends at the first ``>`` then.  Every quote is looked from once,
+    so all tags of a page together cost one pass.
+    """
+    while m := STOP.search(page, at):
+        at = m.end()
+        quote = m[0]
+        if quote == ">":
+            return at - 1
+        before = at - 2
+        while page[before] in " \t\n\r\f":
+            before -= 1
+        if page[before] != "=":
+            continue
+        shut = page.find(quote, at)
+        if shut < 0:
+            return page.find(">", at)
+        first = page.find(">", at, shut)
+        if first >= 0 and page[shut + 1 : shut + 2] not in ("", " ", "\t", "\n", "\r", "\f", "/", ">"):
+            return first
+        at = shut + 1
+    return -1
+
+
+@lru_cache(1 << 16)
+def path_bits(name: str, attrs: str) -> tuple[int, int]:
+    """(bins, number) of an element's tokens."""
+    tokens = [name]
+    for a in ATTRIBUTE.finditer(attrs):
+        value = a[2] or a[3] or a[4] or ""
+        key = a[1].lower()
+        tokens += [f"{key}:{w}" for w in re.split(r"[^a-z]+", value.lower()) if w] or ([key] if "hidden" in key else [])
+    bits = 0
+    for t in tokens:
+        bits |= 1 << crc32(t.encode()) % PATH
+    return bits, len(tokens)
+
+
 def leaves(page: str) -> list[Leaf]:
     """The text blocks of a page in order: references decoded, white space turned into single
-    spaces, blank blocks left out.  Unclosed tags, stray ends and raw text elements are allowed.
-    What a head may hold is opaque or void, so text after ``<head>`` is the body's, as in browsers,
-    whether or not the optional ``</head>`` and ``<body>`` are there."""
+    spaces, blank blocks left out.  One pass, in time linear in the page whatever is broken in it.
+
+    Unclosed tags, stray ends and raw text elements are allowed.  What a head may hold is opaque or
+    void, so text after ``<head>`` is the body's, as in browsers, whether or not the optional
+    ``</head>`` and ``<body>`` are there.  A tag or comment that nothing ends holds the rest of the
+    page, as in browsers; for a quote left open see :func:`tag_end`.  An opaque element that nothing
+    ends is left out if it is one of ``RAW``, else only its tag is.
+    """
     out: list[Leaf] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # name, bins and number of the path's tokens
+    opened: Counter[str] = Counter()
+    endless: set[str] = set()
     buffer: list[str] = []
     linked = anchors = 0
 
-    def path() -> tuple[str, ...]:
-        return tuple(x for _, tokens in stack for x in tokens)
-
     def flush() -> None:
         nonlocal linked
-        if buffer:
-            text = SPACE.sub(" ", "".join(buffer)).strip()
-            buffer.clear()
-            if text:
-                out.append(Leaf(path(), text, linked))
+        text = SPACE.sub(" ", "".join(buffer)).strip()
+        buffer.clear()
+        if text:
+            out.append(Leaf(stack[-1][1], stack[-1][2], text, linked))
         linked = 0
 
     def add(raw: str) -> None:
@@ -83,46 +131,76 @@ def leaves(page: str) -> list[Leaf]:
             if anchors:
                 linked += len(text)
 
-    at = 0
-    for m in TOKEN.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        name = m["name"]
-        if name is None:
-            if m[0].startswith("<![CDATA["):
-                add(m[0][9:].removesuffix("]]>"))
+    def pop() -> None:
+        opened[stack.pop()[0]] -= 1
+
+    at, n = 0, len(page)
+    while (lt := page.find("<", at)) >= 0:
+        close = page.startswith("/", lt + 1)
+        begin = lt + 2 if close else lt + 1
+        letter = page[begin : begin + 1]
+        if not (letter.isascii() and letter.isalpha()):
+            if letter not in ("!", "?") or close:
+                add(page[at:begin])
+                at = begin
+                continue
+            add(page[at:lt])
+            if page.startswith("<!--", lt):
+                end = page.find("-->", lt + 2)
+                at = n if end < 0 else end + 3
+            elif page.startswith("<![CDATA[", lt):
+                end = page.find("]]>", lt + 9)
+                end = n if end < 0 else end
+                add(page[lt + 9 : end])
+                at = min(n, end + 3)
+            else:
+                end = page.find(">", lt)
+                at = n if end < 0 else end + 1
             continue
-        name = name.lower()
+        add(page[at:lt])
+        name_end = NAME.match(page, begin).end()
+        end = tag_end(page, name_end)
+        if end < 0:
+            at = n
+            break
+        name, attrs = page[begin:name_end].lower(), page[name_end:end]
+        at = end + 1
         if name in INLINE:
-            anchors = max(0, anchors + (-1 if m["close"] else 1)) if name == "a" else anchors
-            if name == "wbr":
-                continue
+            anchors = max(0, anchors + (-1 if close else 1)) if name == "a" else anchors
         elif name == "br":
             buffer.append(" ")
         elif name == "head":
-            continue
-        elif m["close"]:
-            flush()
-            if name == "body" or name == "html":
+            pass
+        elif name in SHUT:
+            if close or name in ("svg", "math") and attrs.endswith("/"):
                 continue
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    anchors = 0
-                    break
+            found = None if name in endless else SHUT[name].search(page, at)
+            if found:
+                end = page.find(">", found.end())
+                at = n if end < 0 else end + 1
+            elif name in RAW:
+                at = n
+            else:
+                endless.add(name)
+        elif close:
+            if buffer:
+                flush()
+            if opened[name] and name != "body" and name != "html":
+                while stack[-1][0] != name:
+                    pop()
+                pop()
+                anchors = 0
         else:
-            flush()
-            if name in VOID or m["attrs"].rstrip().endswith("/"):
+            if buffer:
+                flush()
+            if name in VOID or attrs.rstrip().endswith("/"):
                 continue
             if shut := CLOSES.get(name):
-                while stack and stack[-1][0] in shut:
-                    stack.pop()
-            tokens = [name]
-            for a in ATTRIBUTE.finditer(m["attrs"]):
-                value = a[2] or a[3] or a[4] or ""
-                key = a[1].lower()
-                tokens += [f"{key}:{w}" for w in re.split(r"[^a-z]+", value.lower()) if w] or ([key] if "hidden" in key else [])
-            stack.append((name, tuple(tokens)))
+                while stack[-1][0] in shut:
+                    pop()
+            bits, tokens = path_bits(name, attrs)
+            stack.append((name, stack[-1][1] | bits, stack[-1][2] + tokens))
+            opened[name] += 1
     add(page[at:])
     flush()
     return out
@@ -133,14 +211,12 @@ def digits(text: str) -> int:
 
 
 def features(blocks: list[Leaf]) -> np.ndarray:
-    x = np.zeros((len(blocks), WIDTH), np.float32)
     n = len(blocks)
-    paths: dict[tuple[str, ...], list[int]] = {}
+    x = np.zeros((n, WIDTH), np.float32)
+    paths = b"".join([b.path.to_bytes(PATH // 8, "little") for b in blocks])
+    x[:, :PATH] = np.unpackbits(np.frombuffer(paths, np.uint8).reshape(n, PATH // 8), axis=1, bitorder="little")
     for k, b in enumerate(blocks):
-        if (held := paths.get(b.path)) is None:
-            held = paths[b.path] = [crc32(t.encode()) % PATH for t in set(b.path)]
         row = x[k]
-        row[held] = 1.0
         words = b.text.lower().split()
         bins = np.bincount([crc32(w.encode()) % WORD for w in words], minlength=WORD)
         row[PATH : PATH + WORD] = np.log1p(bins) * 0.3
@@ -153,7 +229,7 @@ def features(blocks: list[Leaf]) -> np.ndarray:
             digits(b.text) / max(size, 1),
             float(size > 0 and b.text[-1] in ".!?:;\"'”»"),
             k / max(n - 1, 1),
-            np.log1p(len(b.path)) / 4,
+            np.log1p(b.depth) / 4,
         )
     return x
 

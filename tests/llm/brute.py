@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import html.parser
 import re
 from collections import Counter, defaultdict
 
@@ -146,3 +147,46 @@ def targets(sizes, weights=(5, 2, 1), most=3):
     for s in full:
         out[s] = most * sizes[s]
     return out
+
+
+class Article(html.parser.HTMLParser):
+    """The blocks inside ``<article>``, but for boilerplate elements in it, read by html.parser."""
+
+    INLINE = set("a b i em strong code span u s sub sup small mark".split())
+    OUT = set("nav aside header footer form script style noscript svg select textarea button".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside = self.out = 0
+        self.blocks, self.held = [], []
+
+    def cut(self):
+        if text := " ".join("".join(self.held).split()):
+            self.blocks.append(text)
+        self.held = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.held.append(" ")
+        elif tag not in self.INLINE:
+            self.cut()
+        self.inside += tag == "article"
+        self.out += tag in self.OUT
+
+    def handle_endtag(self, tag):
+        if tag not in self.INLINE:
+            self.cut()
+        self.inside -= tag == "article"
+        self.out -= tag in self.OUT
+
+    def handle_data(self, data):
+        if self.inside > 0 and self.out <= 0:
+            self.held.append(data)
+
+
+def article(page):
+    reader = Article()
+    reader.feed(page)
+    reader.close()
+    reader.cut()
+    return " ".join(reader.blocks)
