@@ -14,7 +14,8 @@ from pyspark.sql.window import Window
 
 from nearfield.llm.shared import partitions, written
 
-BITS = 5
+#: Cells a dimension: 2 ** 16, so 2048 to an octave of sizes and a cell of its own for nearly every label.
+BITS = 16
 
 
 def hilbert_tables(dims: int) -> tuple[list[int], list[int]]:
@@ -83,8 +84,9 @@ def hilbert_index(coordinates: list[Column], bits: int) -> Column:
 
 
 def log_cell(size: Column, bits: int = BITS) -> Column:
-    """A size on a scale of half octaves, order kept, clipped to the cells there are."""
-    return F.least(F.floor(2 * F.log2(F.greatest(size.cast("double"), F.lit(1.0)))), F.lit((1 << bits) - 1)).cast("int")
+    """A size on a logarithmic scale, order kept.  No text has 2**31 bytes or more, so sizes are
+    below 2**32 and none is clipped."""
+    return F.floor(F.log2(F.greatest(size.cast("double"), F.lit(1.0))) * ((1 << bits) / 32)).cast("int")
 
 
 def label_cell(label: Column, bits: int = BITS) -> Column:
@@ -96,22 +98,24 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 16
 
 
-def hilbert_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", labels: tuple[str, ...] = ("source", "lang"), bits: int = BITS) -> DataFrame:
-    """``(doc_id, size, text_crc32, curve, shard, slot)``, one row per row of ``docs``.
+def hilbert_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", labels: tuple[str, ...] = ("source", "lang"), bits: int = BITS, pass_through: bool = False) -> DataFrame:
+    """``(doc_id, size, text_crc32, curve, shard, slot)``, one row per row of ``docs``; with
+    ``pass_through`` also ``row``, a struct of all columns of ``docs``.
 
     Law ``rows``: the counts of any two shards differ by one at most.  Slots run from 0 in curve
     order.  A null text has no bytes and crc 0; null labels and ids sort first; fully repeated
     rows tie and get neighbouring slots.  Other columns are not read.  An empty table gives an
     empty result.
 
-    The global order is a range partitioning of narrow rows on (curve, crc, id), whose ids keep any
+    The global order is a range partitioning of rows on (curve, crc, id), whose ids keep any
     hot cell divisible; positions come from each sorted partition's own numbering plus the sizes
     of the partitions before it (one row per partition, broadcast).
     """
     spark = docs.sparkSession
     size, crc = size_of(F.col(text_col)), F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(0)).cast("long")
     cells = [log_cell(size, bits), *[label_cell(F.col(c), bits) for c in labels]]
-    narrow = docs.select(F.col(id_col).alias("id"), size.alias("size"), crc.alias("crc"), hilbert_index(cells, bits).alias("curve"))
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if pass_through else []
+    narrow = docs.select(F.col(id_col).alias("id"), size.alias("size"), crc.alias("crc"), hilbert_index(cells, bits).alias("curve"), *whole)
     keys = ["curve", "crc", "id"]
     ordered = narrow.repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys)
     table = written(ordered.withColumn("at", F.monotonically_increasing_id()), "hilbert")
@@ -124,20 +128,22 @@ def hilbert_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_co
     shard = F.expr(f"(rank * {shards} + {shards} - 1) div total")  # run s starts at floor(s * total / shards)
     start = F.expr(f"(shard * total) div {shards}")
     return placed.withColumn("shard", shard.cast("int")).select(
-        F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "curve", "shard", (F.col("rank") - start).cast("long").alias("slot")
+        F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "curve", "shard", (F.col("rank") - start).cast("long").alias("slot"), *["row"] * pass_through
     )
 
 
-def manifest(docs: DataFrame, placed: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    """Per shard the row count, bytes, and least and greatest value of each column: what a reader
-    checks a predicate against before it opens a file."""
-    joined = placed.select(F.col(id_col).alias("__nf_id"), "shard", "size").join(docs.select(id_col, *columns), F.col("__nf_id").eqNullSafe(F.col(id_col)))
-    stats = [f(c).alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))]
-    return joined.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"), *stats)
+def manifest(placed: DataFrame, columns: list[str]) -> DataFrame:
+    """Per shard of ``hilbert_shards(..., pass_through=True)`` the row count, bytes, and least and
+    greatest value of each column: what a reader checks a predicate against before it opens a file.
+    Nulls are in the count only.  Repeated ids are rows like any other."""
+    stats = [f(F.col(f"row.`{c}`")).alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))]
+    return placed.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"), *stats)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int, id_col: str = "doc_id", **options: object) -> None:
-    """Write ``docs`` as one folder per shard, rows in curve order.  Ids must be unique."""
-    placed = hilbert_shards(docs, shards, id_col, **options).select(F.col(id_col).alias("__nf_id"), F.col("shard").alias("__nf_shard"), F.col("slot").alias("__nf_slot"))
-    joined = docs.join(placed, F.col(id_col).eqNullSafe(F.col("__nf_id"))).drop("__nf_id")
-    joined.repartitionByRange(shards, "__nf_shard", "__nf_slot").sortWithinPartitions("__nf_shard", "__nf_slot").drop("__nf_slot").write.partitionBy("__nf_shard").parquet(path)
+    """Write ``docs`` as one folder per shard (column ``__nf_shard``), rows in curve order.  Ids may
+    be null or repeated."""
+    placed = hilbert_shards(docs, shards, id_col, pass_through=True, **options)
+    cols = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    ordered = placed.repartitionByRange(shards, "shard", "slot").sortWithinPartitions("shard", "slot")
+    ordered.select(*cols, F.col("shard").alias("__nf_shard")).write.partitionBy("__nf_shard").parquet(path)

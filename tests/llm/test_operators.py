@@ -155,12 +155,20 @@ def test_hilbert_curve_steps_to_neighbours(spark, dims, bits):
     assert all(sum(abs(a - b) for a, b in zip(p[1:], q[1:])) == 1 for p, q in zip(rows, rows[1:]))
 
 
-def test_hilbert_files_prune(documents, tmp_path, spark):
-    hilbert.write_shards(documents, f"file://{tmp_path}/out", 8)
-    back = spark.read.parquet(f"file://{tmp_path}/out")
-    assert back.count() == documents.count()
-    stats = hilbert.manifest(documents, hilbert.hilbert_shards(documents, 8), "doc_id", ["source", "n_chars"]).collect()
-    assert sum(r["rows"] for r in stats) == documents.count() and len(stats) == 8
+def test_hilbert_files_prune(documents, edge, tmp_path, spark):
+    for k, df in enumerate((documents, edge)):
+        hilbert.write_shards(df, f"file://{tmp_path}/out{k}", 8)
+        back = spark.read.parquet(f"file://{tmp_path}/out{k}")
+        same(back.select(*df.columns).collect(), df.collect())
+        stats = hilbert.manifest(hilbert.hilbert_shards(df, 8, pass_through=True), ["source", "n_chars"]).collect()
+        assert sum(r["rows"] for r in stats) == df.count() and len(stats) == 8
+
+
+def test_hilbert_cells_are_not_clipped(spark):
+    sizes = [1 << k for k in range(32)] + [100_000, 101_000]
+    rows = spark.createDataFrame([(s,) for s in sizes], "size long").select("size", hilbert.log_cell(F.col("size")).alias("c"), hilbert.label_cell(F.col("size").cast("string")).alias("l")).orderBy("size").collect()
+    assert len({r["c"] for r in rows}) == len({r["l"] for r in rows}) == len(sizes)
+    assert [r["c"] for r in rows] == sorted(r["c"] for r in rows) and rows[-1]["c"] < 1 << hilbert.BITS
 
 
 # ---- 4
