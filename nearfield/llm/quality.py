@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from nearfield.llm.shared import WordIds, dropped, prepare, spread, written
 
@@ -25,13 +26,13 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 SYMBOLS = b"#*$%&|<>"
-#: A common word has at least this mean share of its language's documents: 1000 words at most.
+#: What makes a word common: this mean share of its language's documents, so 1000 words at most.
+#: All other words of a document count together, as one word.
 COMMON_SHARE = 0.001
-#: Languages with fewer documents have no reference of their own.
+#: Languages with fewer documents have no reference of their own: an absolute count, so that no
+#: other language's rows take a reference away.
 REFERENCE_DOCS = 10
-#: Languages with at least this share of the documents are references for documents of all languages.
-LANGUAGE_SHARE = 0.01
-#: Documents shorter than this don't shape a reference.
+#: Minimum length: histograms of documents with fewer words don't shape a reference.
 REFERENCE_WORDS = 20
 #: Bins of a class's share, of which the median is taken.
 BINS = 1024
@@ -139,20 +140,19 @@ class References:
     language with ``REFERENCE_DOCS`` documents, however many documents there are."""
 
     languages: list[str]
-    broad: list[bool]  # whether documents of other languages are compared with it too
     classes: np.ndarray  # (languages, classes)
     common: dict[bytes, int]  # word -> column
     words: list[tuple[np.ndarray, np.ndarray]]  # columns and shares of each language's common words
 
 
-def learn_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> References:
-    """References from every document of at least ``REFERENCE_WORDS`` words whose language is
+def learn_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", common_share: float = COMMON_SHARE, reference_docs: int = REFERENCE_DOCS, reference_words: int = REFERENCE_WORDS) -> References:
+    """References from every document of at least ``reference_words`` words whose language is
     given: mean shares of words, and medians of class shares, which junk does not move.
 
     Each task sums (language, key) pairs: words with their shares, a class with its share's bin
     (such a key starts with a space, as no word does), and a null key that counts documents.
-    Only the bins and the common words of reference languages reach the driver: those with
-    ``REFERENCE_DOCS`` such documents, so no other language's rows take a reference away.
+    Only a median per class and the common words of reference languages reach the driver: those
+    with ``reference_docs`` such documents.
     """
     prepare(docs.sparkSession)
 
@@ -171,7 +171,7 @@ def learn_references(docs: DataFrame, text_col: str = "text", lang_col: str = "l
                 names = list(block.words.ids)
                 for k, row in enumerate(block.rows):
                     lang, n = langs[row], int(block.counts[k])
-                    if lang is None or n < REFERENCE_WORDS:
+                    if lang is None or n < reference_words:
                         continue
                     ids, times = np.unique(block.ids[ends[k] - n : ends[k]], return_counts=True)
                     held = sums.setdefault(lang, {})
@@ -189,40 +189,36 @@ def learn_references(docs: DataFrame, text_col: str = "text", lang_col: str = "l
 
     parts = spread(docs.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))).mapInArrow(run, "lang string, word binary, share double")
     total = parts.groupBy("lang", "word").agg(F.sum("share").alias("share"))
-    # a common word of any language reaches COMMON_SHARE of its one document at least
-    total = written(total.where(F.col("word").isNull() | (F.col("share") >= COMMON_SHARE)), "quality")
-    counts = total.where("word is null")
-    all_docs = counts.agg(F.sum("share")).first()[0] or 0.0
-    enough = counts.where(F.col("share") >= REFERENCE_DOCS).select("lang", F.col("share").alias("docs"))
+    # a common word of any language reaches common_share of its one document at least
+    total = written(total.where(F.col("word").isNull() | (F.col("share") >= common_share)), "quality")
+    enough = total.where(F.col("word").isNull() & (F.col("share") >= reference_docs)).select("lang", F.col("share").alias("docs"))
     n_docs = {r["lang"]: r["docs"] for r in enough.collect()}
     languages = sorted(n_docs)
-    bins = np.zeros((CONTINUED, BINS + 1))
-    classes = np.zeros((len(languages), CONTINUED))
-    common: dict[bytes, int] = {}
-    words: list[tuple[np.ndarray, np.ndarray]] = []
     is_bin = F.substring("word", 1, 1) == F.lit(b" ")
-    wanted = total.where(F.col("word").isNotNull()).join(F.broadcast(enough), "lang").where(is_bin | (F.col("share") >= COMMON_SHARE * F.col("docs")))
-    found = wanted.select("lang", "word", "share").toArrow().combine_chunks().sort_by([("lang", "ascending"), ("word", "ascending")])
+    wanted = total.where(F.col("word").isNotNull()).join(F.broadcast(enough), "lang")
+    number = F.conv(F.hex(F.substring("word", 2, 3)), 16, 10).cast("long")  # class and bin
+    bins = wanted.where(is_bin).select("lang", F.shiftright(number, 16).alias("class"), number.bitwiseAND(F.lit(0xFFFF)).alias("bin"), "share")
+    upto = F.sum("share").over(Window.partitionBy("lang", "class").orderBy("bin"))
+    whole = F.sum("share").over(Window.partitionBy("lang", "class"))
+    medians = bins.withColumn("upto", upto).withColumn("whole", whole).where(F.col("upto") >= F.col("whole") / 2).groupBy("lang", "class").agg(F.min("bin").alias("bin"))
+    place = {lang: k for k, lang in enumerate(languages)}
+    classes = np.full((len(languages), CONTINUED), 0.25)  # most documents have hardly any of the class
+    for r in medians.collect():
+        if r["bin"]:
+            classes[place[r["lang"]], r["class"]] = r["bin"] + 0.5
+    classes /= classes.sum(axis=1, keepdims=True)
+    found = wanted.where(~is_bin & (F.col("share") >= common_share * F.col("docs"))).select("lang", "word", "share").toArrow().combine_chunks().sort_by([("lang", "ascending"), ("word", "ascending")])
     dropped(total)
     sizes = Counter(found.column("lang").to_pylist())
+    common: dict[bytes, int] = {}
+    words: list[tuple[np.ndarray, np.ndarray]] = []
     at = 0
-    for k, lang in enumerate(languages):
+    for lang in languages:
         part = found.slice(at, sizes[lang])
         at += sizes[lang]
-        bins[:] = 0
-        columns, shares = [], []
-        for w, share in zip(part.column("word").to_pylist(), part.column("share").to_pylist()):
-            if w[:1] == b" ":
-                bins[w[1], int.from_bytes(w[2:], "big")] = share
-            else:
-                columns.append(common.setdefault(w, len(common)))
-                shares.append(share / n_docs[lang])
-        words.append((np.array(columns, np.int64), np.array(shares)))
-        upto = bins.cumsum(axis=1)
-        median = (upto < upto[:, -1:] / 2).sum(axis=1) + 0.5
-        median[median < 1] = 0.25  # most documents have hardly any of the class
-        classes[k] = median / median.sum()
-    return References(languages, [n_docs[x] >= LANGUAGE_SHARE * all_docs for x in languages], classes, common, words)
+        columns = [common.setdefault(w, len(common)) for w in part.column("word").to_pylist()]
+        words.append((np.array(columns, np.int64), part.column("share").to_numpy() / n_docs[lang]))
+    return References(languages, classes, common, words)
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -238,19 +234,34 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 def word_distances(doc: np.ndarray, column: np.ndarray, p: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
     """:func:`js_distance` of ``n`` documents from ``q``, given their (document, column) shares
-    ``p`` that aren't zero: where a document has none, ``q`` counts in full."""
-    there = q[column]
-    m = (p + there) / 2
-    with np.errstate(divide="ignore", invalid="ignore"):
-        both = p * np.log2(p / m) + np.where(there > 0, there * np.log2(there / m), 0.0) - there
-    return np.sqrt(np.maximum(0.0, (np.bincount(doc, both, minlength=n) + q.sum()) / 2))
+    ``p`` that aren't zero.  Words that are not common in the reference (0 in ``q``) count
+    together with the other words, the last of ``q``."""
+    common = q[column] > 0
+    common &= column < len(q) - 1
+    there, mine = q[column[common]], p[common]
+    rest = np.bincount(doc[~common], p[~common], minlength=n)
+    m, m_rest = (mine + there) / 2, (rest + q[-1]) / 2
+
+    def part(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(a > 0, a * np.log2(a / b), 0.0)
+
+    # where a document has none of a common word, q counts in full
+    both = np.bincount(doc[common], part(mine, m) + part(there, m) - there, minlength=n) + q[:-1].sum()
+    both += part(rest, m_rest) + part(np.full(n, q[-1]), m_rest)
+    return np.sqrt(np.maximum(0.0, both / 2))
 
 
 @dataclass(frozen=True)
 class Limits:
-    """A document is kept if its nearest reference is within both distances."""
+    """A document is kept if its nearest reference is within both distances.
+
+    The distances are chosen on the labels of documents with even crc32(doc_id), where they give
+    the largest sum of the shares of good documents kept and bad ones rejected (in the middle of
+    the ties); the odd ones are held out.
+    """
 
-    class_distance: float = 0.18
+    class_distance: float = 0.185
     word_distance: float = 0.56
     class_min_chars: int = 200
     word_min_words: int = 60
@@ -294,7 +305,7 @@ def judge(texts: pa.Array, langs: list[str | None], refs: References, limits: Li
             doc, column = key // width, key % width
             p = counts / block.counts[doc]
             for k, (columns, shares) in enumerate(refs.words):
-                mine = refs.broad[k] | (own == k) | (own < 0)
+                mine = (own == k) | (own < 0)
                 if not mine.any():
                     continue
                 by_class[mine] = np.minimum(by_class[mine], js_distance(share[mine], refs.classes[k]))
@@ -315,10 +326,11 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per row of ``docs``: the id, the counts, both distances and the verdict ``kept``.
 
     A null text is the empty one: no words, base_failed.  Documents below a minimum length pass
-    that comparison.  A document is compared with its own language's reference and those of the
-    languages with ``LANGUAGE_SHARE`` of the documents; one whose language is null or too rare to
-    have a reference, with all references.  Ids may be null or repeated; extra columns are not read.  An empty table gives an empty
-    result and no references.  Rows are independent: there is no shuffle but for the references.
+    that comparison.  A document is compared with its own language's reference; one whose language
+    is null or too rare to have a reference, with all references, of which the nearest counts.  So
+    a verdict depends on the documents of its language and on no language's share of the table.
+    Ids may be null or repeated; extra columns are not read.  An empty table gives an empty result
+    and no references.  Rows are independent: there is no shuffle but for the references.
     """
     prepare(docs.sparkSession)
     refs = refs or learn_references(docs, text_col, lang_col)

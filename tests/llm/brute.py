@@ -190,3 +190,80 @@ def article(page):
     reader.close()
     reader.cut()
     return " ".join(reader.blocks)
+
+
+def _class(c):
+    if c == " ":
+        return 0
+    if c in "\t\n\r\x0b\x0c":
+        return 1
+    if c in "#*$%&|<>":
+        return 8
+    if "a" <= c <= "z":
+        return 2
+    if "A" <= c <= "Z":
+        return 3
+    if c in "0123456789":
+        return 4
+    if c in ",;:'\"()-":
+        return 5
+    if c == ".":
+        return 6
+    if c in "!?":
+        return 7
+    if c < " " or c == "\x7f":
+        return 10
+    return 9 if c < "\x7f" else 11
+
+
+def _js(p, q):
+    def kl(a, b):
+        return sum(x * np.log2(x / ((x + b.get(k, 0)) / 2)) for k, x in a.items() if x)
+
+    return np.sqrt(max(0.0, (kl(p, q) + kl(q, p)) / 2))
+
+
+def quality_kept(rows, class_limit, word_limit, common=0.001, least_docs=10, least_words=20):
+    """rows: (doc_id, text, lang) -> {doc_id: (class distance, word distance, kept)}"""
+    shares, bins, n_docs = defaultdict(Counter), defaultdict(list), Counter()
+
+    def classes(text):
+        return Counter(map(_class, text or ""))
+
+    for _, text, lang in rows:
+        w = words(text)
+        if lang is None or len(w) < least_words:
+            continue
+        n_docs[lang] += 1
+        for x, n in Counter(w).items():
+            shares[lang][x] += n / len(w)
+        h = classes(text)
+        bins[lang].append([h[k] * 1024 // len(text) for k in range(12)])
+    refs = {}
+    for lang, n in n_docs.items():
+        if n < least_docs:
+            continue
+        middle = [sorted(x)[(len(x) + 1) // 2 - 1] for x in zip(*bins[lang])]
+        middle = [x + 0.5 if x else 0.25 for x in middle]
+        q = {x: s / n for x, s in shares[lang].items() if s >= common * n}
+        q[None] = max(0.0, 1 - sum(q.values()))
+        refs[lang] = ({k: x / sum(middle) for k, x in enumerate(middle)}, q)
+    out = {}
+    for i, text, lang in rows:
+        w, h = words(text), classes(text)
+        own = [refs[lang]] if lang in refs else list(refs.values())
+        a, b = 0.0, 0.0
+        if own:
+            p = {k: x / max(len(text or ""), 1) for k, x in h.items()}
+            a = min(_js(p, c) for c, _ in own)
+
+            def word_distance(q):
+                held = Counter()
+                for x, n in Counter(w).items():
+                    held[x if x in q else None] += n / len(w)
+                return _js(held, q)
+
+            b = min(word_distance(q) for _, q in own)
+        bad = (len(text or "") >= 200 and a > class_limit) or (len(w) >= 60 and b > word_limit)
+        out[i] = (a, b, not quality_base(text)[5] and not bad)
+    return out

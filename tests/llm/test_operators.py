@@ -259,12 +259,23 @@ def test_quality_base(which, request):
     assert kept.columns == df.columns and kept.count() == sum(r["kept"] for r in got)
 
 
-def test_quality_verdict_on_labels(spark):
+@pytest.mark.parametrize("which", ["documents", "edge"])
+def test_quality_verdict_brute(which, request):
+    df = request.getfixturevalue(which)
+    limits = quality.Limits()
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in df.select("doc_id", "text", "lang").collect()]
+    want = brute.quality_kept(rows, limits.class_distance, limits.word_distance)
+    for r in quality.quality_rules(df).collect():
+        a, b, kept = want[r["doc_id"]]
+        assert (r["kept"], r["class_distance"], r["word_distance"]) == (kept, pytest.approx(a, abs=1e-9), pytest.approx(b, abs=1e-9))
+
+
+def test_quality_verdict_on_held_out_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("crc32(cast(doc_id as string)) % 2 = 1")
     rows = quality.quality_rules(docs).join(labels, "doc_id").where("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("kept")).collect()
     share = {r["quality"]: r["kept"] for r in rows}
-    assert share[1] > 0.99 and share[0] < 0.05
+    assert share[1] > 0.995 and share[0] < 0.03
 
 
 def test_rare_languages_get_a_verdict(spark):
@@ -285,8 +296,7 @@ def test_rare_languages_get_a_verdict(spark):
         df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
         got = {r["doc_id"]: r["kept"] for r in quality.quality_rules(df).where("not base_failed and doc_id < 1000").collect()}
         assert got == {i: i < 100 or i in (202, 203) for i, _, _ in rare}
-    refs = quality.learn_references(df)
-    assert refs.languages == ["en", "nl"] and refs.broad == [True, False]
+    assert quality.learn_references(df).languages == ["en", "nl"]
 
 
 def test_word_distances():
@@ -295,7 +305,9 @@ def test_word_distances():
     p[2] = 0
     p, q = p / np.maximum(p.sum(axis=1, keepdims=True), 1e-9), q / q.sum()
     doc, column = np.nonzero(p)
-    assert quality.word_distances(doc, column, p[doc, column], q, 6) == pytest.approx(quality.js_distance(p, q))
+    folded = p * (q > 0)
+    folded[:, -1] = p[:, -1] + (p * (q == 0))[:, :-1].sum(axis=1)
+    assert quality.word_distances(doc, column, p[doc, column], q, 6) == pytest.approx(quality.js_distance(folded, q))
 
 
 def test_js_distance():
