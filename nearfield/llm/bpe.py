@@ -1,8 +1,10 @@
 """BPE encoding by per-prefix dynamic programming, and decoding.
 
 For every prefix of a pre-token there is exactly one token that can end the prefix's encoding.
-An automaton with suffix links lists the vocabulary entries that end at each position, longest
-first; the first one that is compatible with the last token of the prefix before it is the one.
+A suffix automaton of the whole vocabulary reads the pre-token and holds, at each position, the
+longest text ending there that is inside some entry; its suffix links list the entries that end
+there, longest first, and the first one that is compatible with the last token of the prefix
+before it is the one.
 Back-pointers then give the ids.  Two tokens are compatible when no merge across their border
 would have happened before the merges inside them: this is read off the border's two spines of
 the merge trees, without running any merges.  The result is the id sequence of rank-ordered
@@ -38,11 +40,78 @@ def byte_letters() -> list[str]:
     return [table[b] for b in range(256)]
 
 
+#: The steps that a file has to name; without a decoder the tokens' texts are joined by spaces.
+KIND = {"normalizer": ["NFC", "Replace", "Lowercase"], "pre_tokenizer": ["Split", "ByteLevel"], "decoder": None, "post_processor": None}
+
+
+class SuffixAutomaton:
+    """All substrings of some words.  A state stands for the strings that end at the same places;
+    they are suffixes of the longest one, of ``size[state]`` symbols.  ``step`` maps
+    ``state << WIDTH | symbol`` to a state, ``link`` a state to that of its longest suffix that
+    ends at more places.  Built once a process, in time linear in the words."""
+
+    WIDTH = 11
+
+    def __init__(self, words: dict[str, int]) -> None:
+        step: dict[int, int] = {}
+        link, size = [-1], [0]
+        symbols: list[list[int]] = [[]]
+        width = self.WIDTH
+
+        def state(n: int, to: int, copied: list[int]) -> int:
+            size.append(n)
+            link.append(to)
+            symbols.append(copied)
+            return len(size) - 1
+
+        def cloned(p: int, q: int, c: int) -> int:
+            new = state(size[p] + 1, link[q], list(symbols[q]))
+            for x in symbols[q]:
+                step[new << width | x] = step[q << width | x]
+            while p >= 0 and step.get(p << width | c) == q:
+                step[p << width | c] = new
+                p = link[p]
+            link[q] = new
+            return new
+
+        for word in words:
+            at = 0
+            for c in map(ord, word):
+                q = step.get(at << width | c)
+                if q is not None:  # an earlier word holds this prefix
+                    at = q if size[q] == size[at] + 1 else cloned(at, q, c)
+                    continue
+                new, p = state(size[at] + 1, 0, []), at
+                while p >= 0 and (q := step.get(p << width | c)) is None:
+                    step[p << width | c] = new
+                    symbols[p].append(c)
+                    p = link[p]
+                if p >= 0:
+                    link[new] = q if size[q] == size[p] + 1 else cloned(p, q, c)
+                at = new
+        self.step, self.link, self.size = step, link, size
+        ends: list[list[tuple[int, int]]] = [[] for _ in size]
+        for word, value in words.items():
+            at = 0
+            for c in map(ord, word):
+                at = step[at << width | c]
+            ends[at].append((len(word), value))
+        #: Per state the words that are suffixes of its longest string, longest first.
+        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(size)
+        for k in sorted(range(1, len(size)), key=size.__getitem__):
+            own, shorter = ends[k], self.ends[link[k]]
+            self.ends[k] = (*sorted(own, reverse=True), *shorter) if own else shorter
+
+
 class WordBpe:
-    """A tokenizer file of the kind "BPE with word ends", encoded by the dynamic programme."""
+    """A tokenizer file of the kind "BPE with word ends", encoded by the dynamic programme.
+
+    Only files of this kind are taken: see :data:`KIND`.  A pre-token with a symbol that no
+    vocabulary entry holds has no encoding, and :meth:`encode` raises ``ValueError``; byte-level
+    vocabularies hold all 256 bytes, so no text has one.
+    """
 
     def __init__(self, path: str) -> None:
-        import ahocorasick
         import regex
         from tokenizers import Tokenizer
 
@@ -51,6 +120,14 @@ class WordBpe:
         model = spec["model"]
         if model["type"] != "BPE" or model.get("byte_fallback") or model.get("dropout"):
             raise ValueError("a plain BPE model is needed")
+        for part, want in KIND.items():
+            have = spec.get(part)
+            kinds = [x["type"] for x in have.get("normalizers") or have.get("pretokenizers") or [have]] if have else None
+            if kinds != want:
+                raise ValueError(f"the {part} has to be {want}, not {kinds}")
+        replace, (split, byte_level) = spec["normalizer"]["normalizers"][1], spec["pre_tokenizer"]["pretokenizers"]
+        if replace["pattern"] != {"Regex": r"\s+"} or replace["content"] != " " or split["behavior"] != "Removed" or not split["invert"] or byte_level["add_prefix_space"] or byte_level["use_regex"]:
+            raise ValueError("white space has to become one space and the pattern's matches the words")
         self.end = model.get("end_of_word_suffix") or ""
         self.vocab: dict[str, int] = model["vocab"]
         self.text_of = {i: t for t, i in self.vocab.items()}
@@ -90,12 +167,8 @@ class WordBpe:
         self._words: dict[str, list[int]] = {}
         self._chunks: dict[bytes, tuple[bytes, str, int]] = {}
 
-        self.automaton = ahocorasick.Automaton()
         names = {symbols(t): i for t, i in self.vocab.items() if t not in self.special}
-        for s, i in names.items():
-            if len(s) == 1 or i in self.made:
-                self.automaton.add_word(s, (len(s), i))
-        self.automaton.make_automaton()
+        self.automaton = SuffixAutomaton({s: i for s, i in names.items() if len(s) == 1 or i in self.made})
 
     def spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """Tokens on a border of ``token``'s merge tree, top first, each with the rank of the
@@ -144,20 +217,31 @@ class WordBpe:
         last = [-1] * (n + 1)  # the last token of each prefix's encoding
         size = [0] * (n + 1)
         pairs, many = self._pairs, self.many
-        for end, (length, token) in self.automaton.iter(s):
+        step, link, longest, ends = self.automaton.step, self.automaton.link, self.automaton.size, self.automaton.ends
+        width = SuffixAutomaton.WIDTH
+        state = held = end = 0  # the longest text that ends here and is inside an entry: its state and length
+        for c in map(ord, s):
             end += 1
-            if last[end] >= 0:
-                continue
-            if start := end - length:
-                before = last[start]
-                if before < 0:
-                    continue
-                ok = pairs.get(before * many + token)
-                if ok is None:
-                    ok = self.compatible(before, token)
-                if not ok:
+            while (to := step.get(state << width | c)) is None and state:
+                state = link[state]
+                held = longest[state]
+            if to is None:
+                break
+            state, held = to, held + 1
+            for length, token in ends[state]:
+                if length > held:
                     continue
-            last[end], size[end] = token, length
+                if start := end - length:
+                    before = last[start]
+                    if before < 0:
+                        continue
+                    ok = pairs.get(before * many + token)
+                    if ok is None:
+                        ok = self.compatible(before, token)
+                    if not ok:
+                        continue
+                last[end], size[end] = token, length
+                break
         if last[n] < 0:
             raise ValueError(f"no encoding of {word!r}")
         out, i = [], n
@@ -194,7 +278,7 @@ class WordBpe:
                         ids += self.word("".join([letters[b] for b in m.encode("utf-8")]))
                 else:  # what counts as a letter depends on the library's Unicode version
                     for m, _ in self.cut(part):
-                        ids += self.encode_word(m)
+                        ids += self.word(m)
         return ids
 
     def chunk(self, data: bytes) -> tuple[bytes, str, int]:
@@ -236,7 +320,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """``(doc_id, n_tokens, [ids array<int>], ids_sha256, decoded_sha256)``, one row per document.
 
     ``path`` is the tokenizer file on every machine.  A null text is encoded as the empty one (no
-    ids); an id may be null or repeated and is passed through; other columns are not read.  Rows
+    ids); an id may be null or repeated and is passed through; other columns are not read.  A text
+    that has no encoding (see :class:`WordBpe`) fails the job rather than losing words.  Rows
     are independent, so there is no shuffle, and an empty table gives an empty result.  A chunk
     between white space is encoded once per worker while it is remembered; whole texts of any
     length are processed, one at a time.

@@ -353,6 +353,38 @@ def test_bpe_on_strange_texts():
     assert own.encode(long) == library.encode(long, add_special_tokens=False).ids
 
 
+def test_suffix_automaton():
+    import random
+
+    rng = random.Random(1)
+    for trial in range(200):
+        vocabulary = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 7))): 0 for _ in range(rng.randrange(1, 25))}
+        vocabulary = {w: k for k, w in enumerate(vocabulary)}
+        auto = bpe.SuffixAutomaton(vocabulary)
+        inside = {w[i:j] for w in vocabulary for i in range(len(w)) for j in range(i + 1, len(w) + 1)}
+        text, state, held = "".join(rng.choice("abcd") for _ in range(40)), 0, 0
+        for end, c in enumerate(text, 1):
+            while (to := auto.step.get(state << auto.WIDTH | ord(c))) is None and state:
+                state = auto.link[state]
+                held = auto.size[state]
+            state, held = (0, 0) if to is None else (to, held + 1)
+            assert held == max([n for n in range(end + 1) if text[end - n : end] in inside], default=0)
+            found = [(n, v) for n, v in auto.ends[state] if n <= held]
+            assert found == [(n, vocabulary[text[end - n : end]]) for n in range(end, 0, -1) if text[end - n : end] in vocabulary]
+
+
+def test_bpe_takes_no_other_kind(tmp_path):
+    import json
+
+    with open(tokenizer_path()) as f:
+        spec = json.load(f)
+    for part, value in (("decoder", {"type": "ByteLevel"}), ("normalizer", None), ("normalizer", {"type": "Sequence", "normalizers": [{"type": "NFC"}]}), ("pre_tokenizer", {"type": "ByteLevel"})):
+        other = tmp_path / "other.json"
+        other.write_text(json.dumps(spec | {part: value}))
+        with pytest.raises(ValueError):
+            bpe.WordBpe(str(other))
+
+
 # ---- 8
 
 
