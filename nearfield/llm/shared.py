@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from nearfield.sources.scratch import dropped, written
 
-__all__ = ["WordIds", "dropped", "mix64", "pack_ints", "pack_sorted", "partitions", "prepare", "spread", "spread_keys", "unpack_ints", "unpack_sorted", "words_of", "written"]
+__all__ = ["WordIds", "dropped", "mix64", "pack_ints", "pack_sorted", "partitions", "prepare", "shards_for", "spread", "spread_keys", "unpack_ints", "unpack_sorted", "words_of", "written"]
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -38,6 +38,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of input that one shard of an operator is made for.
+SHARD_BYTES = 64 << 20
+
+
+def shards_for(df: DataFrame) -> int:
+    """Shards for an operator over ``df``: as many as shuffle partitions, and more where the files
+    that ``df`` reads have more than ``SHARD_BYTES`` for each of these."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    known = sum(s for s in sizes if s < 1 << 60)  # others say that they don't know
+    return max(partitions(df.sparkSession), -(-known // SHARD_BYTES))
+
+
 def words_of(text: str | None) -> list[bytes]:
     """The maximal runs of ``[^\\x20\\x09-\\x0D]`` of a text, in UTF-8 (null: none).
 
@@ -94,10 +107,11 @@ class WordIds:
         ids = self.ids
         return [ids.setdefault(w, len(ids)) for w in words]
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, seed: int | None = None) -> np.ndarray:
         from xxhash import xxh3_64_intdigest as h
 
-        return np.fromiter((h(w, self.seed) for w in self.ids), dtype=np.uint64, count=len(self.ids))
+        seed = self.seed if seed is None else seed
+        return np.fromiter((h(w, seed) for w in self.ids), dtype=np.uint64, count=len(self.ids))
 
 
 def spread_keys(n: int, partitions: int | None = None) -> list[int]:

@@ -5,18 +5,22 @@ inside it: equal windows have equal fingerprints, and neighbouring windows mostl
 an index entry stands for several windows.  The index is a set of immutable runs of fingerprints,
 sorted inside each shard, one entry a fingerprint: the first document that holds it and whether
 others do.  A new batch is sorted likewise and merge-joined with the runs; the fingerprints that
-more than one document holds are matches.  The windows behind matches are then verified by hashes
-of their whole word sequences, which also decides who came first.  When a level has ``fanout``
-runs, they are merged into one run of the next level.
+more than one document holds are matches.  When a level has ``fanout`` runs, they are compacted
+into one run of the next level, and the old ones go.  A manifest names the runs of each level, so
+that a later session takes the index up again.
 
-A document gets at most one entry for a fingerprint and block into a shard, and a block of
-documents sends each of its fingerprints once, so a passage that a third of all documents share
-costs one entry a block, not one a document.
+The windows behind matches are then verified by hashes of their whole word sequences under two
+independent hashes of the words, which also decides who came first.
+
+A block of documents sends each fingerprint, and later each window, once to the shard of its hash;
+what other documents of the block hold is already decided there, and goes round the shards in
+equal parts.  A passage that a third of all documents share costs its shard one entry a block.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +31,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearfield.llm.quality import Block, blocks
-from nearfield.llm.shared import mix64, pack_ints, pack_sorted, partitions, prepare, spread, spread_keys, unpack_ints, unpack_sorted, written
+from nearfield.llm.shared import mix64, pack_ints, pack_sorted, prepare, shards_for, spread, spread_keys, unpack_ints, unpack_sorted
+from nearfield.sources.scratch import new_path
 
 WINDOW = 13
 INNER = 5
 KEY_BITS = 48
-FANOUT = 4
+#: Three batches at a fanout of two: the first two runs are compacted, the third batch is
+#: merge-joined with the compacted run.
+FANOUT = 2
+BATCHES = 3
 U = np.uint64
 
 
@@ -97,17 +105,24 @@ def _block_entries(block: Block, ids: np.ndarray, window: int, inner: int, names
     sizes = np.diff(np.r_[np.flatnonzero(first), len(keys)])
     many = sizes > 1
     in_many = np.repeat(many, sizes)
-    of, also = shard_of(keys[first], shards), shard_of(keys[in_many], shards)
-    cut, cut_also = np.searchsorted(of, np.arange(shards + 1)), np.searchsorted(also, np.arange(shards + 1))
+    of = shard_of(keys[first], shards)
+    cut = np.searchsorted(of, np.arange(shards + 1))
     first_keys, first_docs, also_keys, also_docs = keys[first], docs[first], keys[in_many], docs[in_many]
+    share = _shares(len(also_keys), shards, int(keys[0]))
     rows = []
     for s in range(shards):
-        a, b, c, d = cut[s], cut[s + 1], cut_also[s], cut_also[s + 1]
-        if b > a:
+        a, b, c, d = cut[s], cut[s + 1], *share[s]
+        if b > a or d > c:
             rows.append((names[s], False, pack_sorted(first_keys[a:b]), _raw(first_docs[a:b]), pack_ints(many[a:b]), pack_sorted(also_keys[c:d]), _raw(also_docs[c:d])))
     return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=[x.split()[0] for x in ENTRY.split(", ")]).cast(_arrow(ENTRY))
 
 
+def _shares(n: int, shards: int, turn: int) -> list[tuple[int, int]]:
+    """n items in equal runs, one a shard, the first run at a shard that ``turn`` draws."""
+    cuts = [n * k // shards for k in range(shards + 1)]
+    return [(cuts[(s + turn) % shards], cuts[(s + turn) % shards + 1]) for s in range(shards)]
+
+
 def _arrow(ddl: str) -> pa.Schema:
     kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
     return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in ddl.split(", "))])
@@ -130,11 +145,12 @@ def merge_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     fresh = np.logical_or.reduceat(~old, start)
     # a run's entry that stood for several documents has reported them before
     told = (shared & fresh)[group] & ~(old & many)
-    match = pd.DataFrame({"doc": docs[told], "key": keys[told].view(np.int64)})
+    # what a block found among its own documents came here to be passed on
     also = [(unpack_sorted(k), _ids(d)) for k, d in zip(pdf["also_keys"], pdf["also_docs"]) if k is not None]
-    if also:
-        more = pd.DataFrame({"doc": np.concatenate([d for _, d in also]), "key": np.concatenate([k for k, _ in also]).view(np.int64)})
-        match = pd.concat([match, more]).drop_duplicates()
+    match = pd.DataFrame({
+        "doc": np.concatenate([docs[told], *[d for _, d in also]]),
+        "key": np.concatenate([keys[told], *[k for k, _ in also]]).view(np.int64),
+    })
     keep = np.ones(len(start), bool) if not old.any() or (pdf["history"].all()) else ~np.logical_or.reduceat(old, start)
     held = pd.DataFrame({"run": [True], "shard": [int(pdf["shard"].iloc[0])], "keys": [pack_sorted(keys[start][keep])], "docs": [_raw(docs[start][keep])], "many": [pack_ints(shared[keep])]})
     out = pd.concat([held, match.assign(run=False)])
@@ -142,25 +158,76 @@ def merge_shard(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 class SubstringIndex:
-    """The runs of the index, each a table in the scratch folder.
+    """The runs of the index, in a folder that all machines share (``path``, or a scratch folder).
 
-    Ids are integers, and a batch's documents come after all documents of earlier batches.  The
-    number of shards is fixed when the index is made; take it in proportion to the data.
+    Ids are integers.  The folder holds a table for each run and manifests, of which the last
+    counts: it is written, under another name and renamed, when the runs it names are complete, and
+    runs that it no longer names are deleted after it.  So a session that stops anywhere leaves an
+    index that :meth:`open` takes up as of its last manifest.  The number of shards is fixed when
+    the index is made; take it in proportion to the data.  One session writes at a time.
     """
 
-    def __init__(self, spark: SparkSession, window: int = WINDOW, inner: int = INNER, shards: int | None = None, fanout: int = FANOUT) -> None:
+    def __init__(self, spark: SparkSession, window: int = WINDOW, inner: int = INNER, shards: int = 64, fanout: int = FANOUT, path: str | None = None) -> None:
         prepare(spark)
-        self.spark, self.window, self.inner, self.fanout = spark, window, inner, fanout
-        self.shards = shards or partitions(spark)
+        self.spark, self.window, self.inner, self.fanout, self.shards = spark, window, inner, fanout, shards
         self.names = spread_keys(self.shards)  # one shard to a partition
-        self.levels: list[list[DataFrame]] = [[]]
-
-    def runs(self) -> list[DataFrame]:
+        self.path = (path or new_path(spark, "substring-index")).rstrip("/")
+        self.levels: list[list[str]] = [[]]
+        self.written = self.compactions = self.version = 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> SubstringIndex:
+        """The index in ``path`` as of its last manifest."""
+        jvm = spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(folder)]
+        versions = sorted(n for n in names if n.startswith("manifest-") and n.endswith(".json"))
+        if not versions:
+            raise FileNotFoundError(f"no manifest in {path}")
+        state = json.loads(spark.sparkContext.wholeTextFiles(f"{path.rstrip('/')}/{versions[-1]}").first()[1])
+        index = cls(spark, state["window"], state["inner"], state["shards"], state["fanout"], path)
+        index.levels, index.written, index.compactions = state["levels"], state["written"], state["compactions"]
+        index.version = int(versions[-1][9:-5])
+        return index
+
+    def _fs(self, name: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _commit(self) -> None:
+        self.version += 1
+        state = {k: getattr(self, k) for k in ("window", "inner", "shards", "fanout", "levels", "written", "compactions")}
+        temporary, fs = self._fs(f".manifest-{self.version:09d}.tmp")
+        out = fs.create(temporary, True)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        final, _ = self._fs(f"manifest-{self.version:09d}.json")
+        if not fs.rename(temporary, final):
+            raise OSError(f"could not commit {final}")
+
+    def runs(self) -> list[str]:
         return [r for level in self.levels for r in level]
 
+    def run(self, name: str) -> DataFrame:
+        """The entries of a run, as history."""
+        none = F.lit(None).cast("binary")
+        return self._table(name).where("run").select("shard", F.lit(True).alias("history"), "keys", "docs", "many", none.alias("also_keys"), none.alias("also_docs"))
+
+    def _table(self, name: str) -> DataFrame:
+        return self.spark.read.schema(MERGED).parquet(f"{self.path}/{name}")
+
+    def _merge(self, entries: DataFrame) -> str:
+        self.written += 1
+        name = f"run-{self.written:09d}"
+        merged = entries.repartition(self.shards, "shard").groupBy("shard").applyInPandas(merge_shard, MERGED)
+        # entries and matches apart: the matches outlive the run; an earlier attempt's files go
+        merged.write.partitionBy("run").mode("overwrite").parquet(f"{self.path}/{name}")
+        return name
+
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Merge-join a batch with the runs, append its run, and return the matches
-        ``(doc, key)`` that it brings, those of earlier documents included."""
+        """Merge-join a batch with the runs, append its run, compact full levels, and return the
+        matches ``(doc, key)`` that it brings, those of earlier documents included."""
         window, inner, names = self.window, self.inner, self.names
 
         def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,30 +239,44 @@ class SubstringIndex:
                         yield out
 
         fresh = spread(docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), text_col)).mapInArrow(entries, ENTRY)
-        for run in self.runs():
-            fresh = fresh.unionByName(_as_history(run))
-        merged = written(fresh.repartition(self.shards, "shard").groupBy("shard").applyInPandas(merge_shard, MERGED), "substring-run")
-        self.levels[0].append(merged)
+        for name in self.runs():
+            fresh = fresh.unionByName(self.run(name))
+        name = self._merge(fresh)
+        self.levels[0].append(name)
+        self._commit()
         self.compact()
-        return merged.where("not run").select("doc", "key")
+        return self._table(name).where("not run").select("doc", "key")
 
     def compact(self) -> None:
         """Merge the runs of every level that has ``fanout`` of them into one of the next."""
-        for level, runs in enumerate(self.levels):
-            if len(runs) >= self.fanout:
-                both = _as_history(runs[0])
-                for run in runs[1:]:
-                    both = both.unionByName(_as_history(run))
-                merged = written(both.repartition(self.shards, "shard").groupBy("shard").applyInPandas(merge_shard, MERGED), "substring-run")
+        level = 0
+        while level < len(self.levels):
+            old = self.levels[level]
+            if len(old) >= self.fanout:
+                both = self.run(old[0])
+                for name in old[1:]:
+                    both = both.unionByName(self.run(name))
+                merged = self._merge(both)
                 if level + 1 == len(self.levels):
                     self.levels.append([])
                 self.levels[level + 1].append(merged)
                 self.levels[level] = []
+                self.compactions += 1
+                self._commit()
+                self._delete(old)
+            level += 1
 
+    def _delete(self, names: list[str]) -> None:
+        """Delete the entries of runs; their matches stay."""
+        for name in names:
+            p, fs = self._fs(f"{name}/run=true")
+            fs.delete(p, True)
 
-def _as_history(run: DataFrame) -> DataFrame:
-    none = F.lit(None).cast("binary")
-    return run.where("run").select("shard", F.lit(True).alias("history"), "keys", "docs", "many", none.alias("also_keys"), none.alias("also_docs"))
+    def close(self) -> None:
+        """Drop the index but for the matches that its batches brought."""
+        self._delete(self.runs())
+        self.levels = [[]]
+        self._commit()
 
 
 WINDOWS = "shard int, hashes binary, checks binary, docs binary, at binary, also_docs binary, also_at binary"
@@ -214,7 +295,8 @@ def _window_entries(block: Block, ids: np.ndarray, wanted: list[np.ndarray], win
     hit = np.isin(keys ^ salt[block.doc[starts]], want)
     starts = starts[hit]
     h = block.words.hashes()[block.ids]
-    hashes, checks = sequence_hash(h, window, 21)[starts], sequence_hash(h, window, 22)[starts] >> U(32)
+    other = block.words.hashes(1)[block.ids]
+    hashes, checks = sequence_hash(h, window, 21)[starts], sequence_hash(other, window, 22)[starts]
     local = block.doc[starts]
     at = starts - np.r_[0, np.cumsum(block.counts)][local]
     docs = ids[local]
@@ -224,13 +306,16 @@ def _window_entries(block: Block, ids: np.ndarray, wanted: list[np.ndarray], win
     group = np.cumsum(first) - 1
     lead = docs == docs[first][group]
     of = ((hashes >> U(40)) * U(shards) >> U(24)).astype(np.int64)
+    decided = ~lead
+    also_docs, also_at = docs[decided], at[decided]
+    hashes, checks, docs, at, of = hashes[lead], checks[lead], docs[lead], at[lead], of[lead]
     cut = np.searchsorted(of, np.arange(shards + 1))
+    share = _shares(len(also_docs), shards, int(hashes[0]) if len(hashes) else 0)
     rows = []
     for s in range(shards):
-        a, b = cut[s], cut[s + 1]
-        if b > a:
-            m = lead[a:b]
-            rows.append((names[s], pack_sorted(hashes[a:b][m]), pack_ints(checks[a:b][m]), _raw(docs[a:b][m]), pack_ints(at[a:b][m]), _raw(docs[a:b][~m]), pack_ints(at[a:b][~m])))
+        a, b, c, d = cut[s], cut[s + 1], *share[s]
+        if b > a or d > c:
+            rows.append((names[s], pack_sorted(hashes[a:b]), pack_ints(checks[a:b]), _raw(docs[a:b]), pack_ints(at[a:b]), _raw(also_docs[c:d]), pack_ints(also_at[c:d])))
     return rows
 
 
@@ -251,8 +336,7 @@ def repeats(docs: DataFrame, matches: DataFrame, window: int = WINDOW, inner: in
     """``(doc, starts)``: first words of the windows whose word sequence a document with a smaller
     id also holds.  ``docs`` are all documents that ``matches`` may name; ``docs`` has to be free
     of null ids."""
-    spark = docs.sparkSession
-    shards = shards or partitions(spark)
+    shards = shards or shards_for(docs)
     names = spread_keys(shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +376,7 @@ def cut_text(text: str, gone: np.ndarray) -> str:
     return "".join(out).lstrip(" \t\n\r\x0b\x0c") if gone.any() else text
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, inner: int = INNER, batches: int = 2, fanout: int = FANOUT, digests: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, inner: int = INNER, batches: int = BATCHES, fanout: int = FANOUT, digests: bool = False) -> DataFrame:
     """``docs`` without the words of repeated windows: all columns, the text cut.  With
     ``digests``, instead ``(doc_id, n_words, n_removed, kept_sha256)``.
 
@@ -302,11 +386,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     remove each other's words, but a window in one that an earlier document holds goes from all.
     Columns with any other names pass through.  An empty table gives an empty result.
 
-    The index takes the documents in ``batches`` ranges of ids, one after the other.
+    The index takes the documents in ``batches`` ranges of ids, one after the other, and compacts
+    levels of ``fanout`` runs on the way.
     """
     spark = docs.sparkSession
     prepare(spark)
-    index = SubstringIndex(spark, window, inner, fanout=fanout)
+    shards = shards_for(docs)
+    index = SubstringIndex(spark, window, inner, shards, fanout)
     named = docs.where(F.col(id_col).isNotNull())
     cuts = named.select(F.col(id_col).cast("double").alias("i")).approxQuantile("i", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
     edges = [None, *sorted({int(c) for c in cuts}), None]
@@ -319,11 +405,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             part = part.where(F.col(id_col) <= high)
         new = index.add(part, id_col, text_col)
         matches = new if matches is None else matches.unionAll(new)
+    index.close()
 
     names, text_at = docs.columns, docs.columns.index(text_col)
     id_field, text_only = docs.schema[id_col], [id_col, text_col]
     columns = text_only if digests else names
-    found = repeats(named.select(*[F.col(f"`{c}`") for c in columns]), matches, window, inner, None, id_col, text_col)
+    found = repeats(named.select(*[F.col(f"`{c}`") for c in columns]), matches, window, inner, shards, id_col, text_col)
     starts = found.select(F.col("doc").alias("__nf_of"), F.col("starts").alias("__nf_starts"))
     whole = named.select(*[F.col(f"`{c}`") for c in columns]).join(starts, F.col(id_col) == F.col("__nf_of"), "left").drop("__nf_of")
     rest = docs.where(F.col(id_col).isNull()).select(*[F.col(f"`{c}`") for c in columns]).withColumn("__nf_starts", F.lit(None).cast("array<int>"))

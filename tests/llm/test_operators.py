@@ -182,16 +182,57 @@ def test_substring(which, batches, request):
     same(got, brute.substring(pairs_of(df)))
 
 
-def test_substring_compacts(documents):
+def test_substring_compacts(documents, spark, tmp_path):
     rows = brute.substring(pairs_of(documents))
     got = substring.remove_repeats(documents, batches=5, fanout=2, digests=True).collect()
     same(got, rows)
-    index = substring.SubstringIndex(documents.sparkSession, fanout=2)
-    for k in range(4):
-        index.add(documents.where(f"doc_id % 4 = {k}"))
-    assert [len(x) for x in index.levels] == [0, 0, 1]
-    keys = [unpacked for r in index.runs()[0].where("run").select("keys").collect() for unpacked in substring.unpack_sorted(r["keys"]).tolist()]
+    path = f"file://{tmp_path}/index"
+    index = substring.SubstringIndex(spark, shards=5, path=path)
+    matches = [index.add(documents.where(f"doc_id % 4 = {k}")) for k in range(3)]
+    assert [len(x) for x in index.levels] == [1, 1] and index.compactions == 1
+    again = substring.SubstringIndex.open(spark, path)  # as another session would
+    assert again.levels == index.levels and again.shards == 5
+    matches.append(again.add(documents.where("doc_id % 4 = 3")))
+    assert [len(x) for x in again.levels] == [0, 0, 1] and again.compactions == 3
+    keys = [k for r in again.run(again.runs()[0]).select("keys").collect() for k in substring.unpack_sorted(r["keys"]).tolist()]
     assert len(keys) == len(set(keys))
+    assert sorted(p.parent.name for p in tmp_path.glob("index/run-*/run=true")) == again.runs()  # old ones are gone
+    every = matches[0]
+    for m in matches[1:]:
+        every = every.unionAll(m)
+    found = {(r["doc"], s) for r in substring.repeats(documents.where("doc_id is not null"), every).collect() for s in r["starts"]}
+    first = {}
+    texts = [(i, brute.words(t)) for i, t in pairs_of(documents)]
+    for i, w in texts:
+        for k in range(len(w) - 12):
+            first[tuple(w[k : k + 13])] = min(first.get(tuple(w[k : k + 13]), i), i)
+    assert found == {(i, k) for i, w in texts for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i}
+
+
+def test_substring_query_compacts(spark, sf, monkeypatch):
+    made = []
+    close = substring.SubstringIndex.close
+    monkeypatch.setattr(substring.SubstringIndex, "close", lambda self: (made.append((self.compactions, [len(x) for x in self.levels])), close(self)))
+    QUERIES["op4_substring_dedup"](spark, sf)
+    assert made == [(1, [1, 1])]
+
+
+def test_substring_hot_passage_is_spread():
+    from nearfield.llm.quality import blocks
+    import pyarrow as pa
+
+    texts = pa.array([f"own{k} words{k} of{k} document{k} {PASSAGE} end{k}".encode() for k in range(1000)])
+    block = next(blocks(texts))
+    ids, names = np.arange(1000), list(range(16))
+    rows = substring._block_entries(block, ids, 13, 5, names).to_pylist()
+    also = [len(substring.unpack_sorted(r["also_keys"])) for r in rows]
+    leads = [len(substring.unpack_sorted(r["keys"])) for r in rows]
+    assert sum(also) > 1000 and max(also) - min(also) <= 1 and max(leads) < 2 * np.median(leads)
+    _, keys = substring.fingerprints(block)
+    held = [np.unique(keys).view(np.int64)] * 1000
+    rows = substring._window_entries(block, ids, held, 13, 5, names)
+    also = [len(substring._ids(r[5])) for r in rows]
+    assert sum(also) == 999 * 8 and max(also) - min(also) <= 1
 
 
 def test_substring_text(edge):
