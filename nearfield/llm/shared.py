@@ -42,13 +42,13 @@ def partitions(spark: SparkSession) -> int:
 SHARD_BYTES = 64 << 20
 
 
-def shards_for(df: DataFrame) -> int:
+def shards_for(df: DataFrame, each: int = SHARD_BYTES) -> int:
     """Shards for an operator over ``df``: as many as shuffle partitions, and more where the files
-    that ``df`` reads have more than ``SHARD_BYTES`` for each of these."""
+    that ``df`` reads have more than ``each`` bytes for each of these."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
     known = sum(s for s in sizes if s < 1 << 60)  # others say that they don't know
-    return max(partitions(df.sparkSession), -(-known // SHARD_BYTES))
+    return max(partitions(df.sparkSession), -(-known // each))
 
 
 def words_of(text: str | None) -> list[bytes]:

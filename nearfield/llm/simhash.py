@@ -5,7 +5,9 @@ among the bits left, again on one of three.  The nine (block, value, sub-block,
 fingerprint therefore name nine shards, one of which holds any partner.  Each shard's distinct
 fingerprints go into one BK-tree, children keyed by their integer Hamming distance to the parent,
 and a search follows only the edges within the radius.  Trees travel to the shard's own queries by
-key: sending all trees to every executor would grow with the data.
+key: sending all trees to every executor would grow with the data, and would bring all fingerprints
+to the driver.  A shard of more than ``SPLIT`` fingerprints is cut into chunks, and each pair of
+chunks is a unit of work of its own.
 
 Copies collapse first: trees hold distinct fingerprints, a shard emits one edge per fingerprint to
 the least member it reaches (never pairs), and the edges meet in distributed components.
@@ -28,6 +30,8 @@ from nearfield.llm.shared import partitions, prepare, spread, written
 RADIUS = 2
 SHINGLE = 3
 SEED = 42
+#: Distinct fingerprints of a shard that one tree may hold.
+SPLIT = 4096
 
 
 def shingle_hashes(text: bytes, width: int = SHINGLE) -> list[int]:
@@ -131,10 +135,11 @@ class BkTree:
         return found
 
 
-def shard_links(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """(value, least value of its component inside the shard), where these differ."""
+def shard_links(values: list[int], radius: int, others: list[int] | None = None) -> list[tuple[int, int]]:
+    """(value, least value of its component among those given), where these differ.  Compares all
+    ``values``, or if ``others`` are given the values with the others."""
     values = sorted(set(values))
-    parent = {v: v for v in values}
+    parent = {v: v for v in [*values, *(others or [])]}
 
     def root(v: int) -> int:
         while parent[v] != v:
@@ -142,44 +147,52 @@ def shard_links(values: list[int], radius: int) -> list[tuple[int, int]]:
             v = parent[v]
         return v
 
-    tree = BkTree()
-    for v in values:
-        for w in tree.within(v, radius):
+    def join(v: int, found: list[int]) -> None:
+        for w in found:
             a, b = root(v), root(w)
             if a != b:
                 parent[max(a, b)] = min(a, b)
+
+    tree = BkTree()
+    for v in values:
+        if others is None:
+            join(v, tree.within(v, radius))
         tree.add(v)
-    return [(v, r) for v in values if (r := root(v)) != v]
+    for v in others or []:
+        join(v, tree.within(v, radius))
+    return [(v, r) for v in parent if (r := root(v)) != v]
 
 
-def _bins(batches: Iterator[pa.RecordBatch]) -> Iterator[list[int]]:
-    """The values of each run of equal keys in a stream that is sorted by key."""
-    held_key, held = None, []
+def _bins(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[bool]]]:
+    """(values, whether each is of the unit's first chunk) of each run of equal (key, unit) in a
+    stream that is sorted by them."""
+    held_key, held, held_own = None, [], []
     for batch in batches:
-        keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        keys, units, own, fps = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
         if not len(keys):
             continue
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (units[1:] != units[:-1])])
         ends = np.r_[starts[1:], len(keys)]
-        if held_key is not None and keys[0] != held_key:
-            yield held
-            held = []
+        if held_key is not None and (keys[0], units[0]) != held_key:
+            yield held, held_own
+            held, held_own = [], []
         many = np.flatnonzero((ends - starts > 1) | (starts == 0) | (ends == len(keys)))
         for k in many:
-            run = fps[starts[k] : ends[k]].tolist()
+            run, mine = fps[starts[k] : ends[k]].tolist(), own[starts[k] : ends[k]].tolist()
             if starts[k] == 0:
-                run = held + run
+                run, mine = held + run, held_own + mine
             if ends[k] == len(keys):
-                held_key, held = keys[-1], run
+                held_key, held, held_own = (keys[-1], units[-1]), run, mine
             else:
-                yield run
+                yield run, mine
     if held:
-        yield held
+        yield held, held_own
 
 
-def links(distinct_fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+def links(distinct_fps: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
     """Edges ``(a, b)`` between distinct fingerprints ``fp`` that connect all pairs within
-    ``radius`` (2 or less) bits: at most one edge per fingerprint and shard."""
+    ``radius`` (2 or less) bits: at most one edge per fingerprint and unit of work, which is a
+    shard, or a pair of chunks of a shard of more than ``split`` fingerprints."""
     if not 0 <= radius <= 2:
         raise ValueError("three blocks of three find partners at up to two bits")
     prepare(distinct_fps.sparkSession)
@@ -197,9 +210,10 @@ def links(distinct_fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             a, b = zip(*edges) if edges else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        for values in _bins(batches):
+        for values, own in _bins(batches):
             if len(values) > 1:
-                edges.update(shard_links(values, radius))
+                first = [v for v, o in zip(values, own) if o]
+                edges.update(shard_links(first, radius, [v for v, o in zip(values, own) if not o] or None))
                 if len(edges) > 100_000:
                     yield out()
                     edges.clear()
@@ -207,7 +221,17 @@ def links(distinct_fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     spark = distinct_fps.sparkSession
     keys = distinct_fps.select("fp").mapInArrow(keyed, "key long, fp long")
-    return keys.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(search, "a long, b long")
+    large = F.ceil(F.count("*") / split).cast("int").alias("chunks")
+    hot = written(keys.groupBy(F.col("key").alias("h_key")).agg(large).where("chunks > 1"), "simhash-hot")
+    if hot.isEmpty():
+        units = keys.select("key", F.lit(0).cast("long").alias("unit"), F.lit(True).alias("own"), "fp")
+    else:  # a shard's chunks meet in pairs (low, high); within low = high all values are compared
+        cut = keys.join(hot, F.col("key") == F.col("h_key"), "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        cut = cut.withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("long"))
+        cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)))
+        low, high = F.least("chunk", "other"), F.greatest("chunk", "other")
+        units = cut.select("key", (F.shiftleft(low, 31) + high).alias("unit"), (F.col("chunk") == low).alias("own"), "fp")
+    return units.repartition(partitions(spark), "key", "unit").sortWithinPartitions("key", "unit").mapInArrow(search, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -217,7 +241,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest id that is not null in the component; null ids take part, and a component of null
     ids only has a null ``component_id``.  Repeated rows stay repeated and share a component.  Extra
     columns are not read, so their names cannot clash.  An empty table gives an empty result.
-    Hot groups: a group of copies is one fingerprint from the first aggregation on.
+    Hot groups: a group of copies is one fingerprint from the first aggregation on; a shard with
+    many different fingerprints is cut (see :func:`links`).
     """
     fps = written(fingerprints(docs, id_col, text_col).withColumnRenamed(id_col, "id"), "simhash")
     groups = fps.groupBy("fp").agg(F.min("id").alias("least"))

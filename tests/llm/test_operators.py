@@ -472,6 +472,17 @@ def test_simhash(which, request):
     same(got.select("doc_id", "fingerprint", "component_id").collect(), brute.simhash(pairs_of(df)))
 
 
+@pytest.mark.parametrize("split", [5, 40])
+def test_simhash_splits_large_shards(spark, split):
+    rng = np.random.default_rng(9)
+    centre = rng.integers(0, 1 << 63, 3)
+    flips = [(1 << int(a)) ^ (1 << int(b)) ^ (1 << int(c)) for a, b, c in rng.integers(0, 14, (150, 3))]
+    values = sorted({int(c) ^ f for c in centre for f in flips})
+    pairs = [(a, b) for k, a in enumerate(values) for b in values[k + 1 :] if (a ^ b).bit_count() <= 2]
+    edges = simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"), split=split).collect()
+    assert all((r["a"] ^ r["b"]).bit_count() for r in edges) and brute.unite(values, pairs) == brute.unite(values, [(r["a"], r["b"]) for r in edges])
+
+
 def test_simhash_keeps_one(edge):
     out = simhash.one_per_group(edge)
     assert out.columns == edge.columns
