@@ -2,10 +2,12 @@
 verification and distributed connected components.
 
 Equal vectors collapse first and count by multiplicity.  Every distinct vector gets one sign code
-per table; vectors that share a label and a code in some table are compared exactly, in blocks of
-a bucket.  A pair that shares several tables counts in the first of them only, which both vectors'
-codes tell, so links are counted without a list of pairs.  A bucket larger than a block is cut into
-chunks, and each pair of chunks is a task of its own: nothing is capped.
+per table.  The codes travel alone, packed: a shard sorts its codes and names the buckets of two or
+more vectors, and only these vectors are fetched.  A bucket is compared exactly, in blocks.  A set
+of vectors that is a bucket in several tables is compared in the first of them only, and so is a
+pair that shares several tables, which both vectors' codes tell; so links are counted without a
+list of pairs.  A bucket larger than a block is cut into chunks, and each pair of chunks is a unit
+of work of its own: nothing is capped.
 """
 
 from __future__ import annotations
@@ -14,13 +16,13 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from nearfield.llm.components import connected_components
-from nearfield.llm.shared import partitions, prepare, written
+from nearfield.llm.shared import mix64, pack_ints, pack_sorted, partitions, prepare, shards_for, spread_keys, unpack_ints, unpack_sorted, written
 
 #: A pair at the threshold is missed with 3.9e-6; 24 tables of 14 bits missed 5.2e-6.
 TABLES = 40
@@ -28,6 +30,10 @@ BITS = 20
 THRESHOLD = 0.98
 CHUNK = 1024
 SEED = 8
+#: Bytes of input vectors that one shard of the codes is made for.
+SHARD_BYTES = 16 << 20
+#: Bits of a spot's key: a hash of the code with label and width, then the table.
+HASH_BITS, TABLE_BITS = 48, 8
 
 
 def recall_of(threshold: float, bits: int = BITS, tables: int = TABLES) -> float:
@@ -65,8 +71,8 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def compare(ids: np.ndarray, mult: np.ndarray, x: np.ndarray, codes: np.ndarray, chunk: np.ndarray, table: int, low: int, high: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One bucket, or one pair of chunks of it: (id, links, root of its component) of the vectors
-    that link here.  A pair that shares a code in an earlier table was counted there."""
+    """One bucket, or one pair of chunks of it: (place, links, id of the root of its component) of
+    the vectors that link here.  A pair that shares a code in an earlier table was counted there."""
     links = np.zeros(len(ids), np.int64)
     edges_a, edges_b = [], []
     rows, cols = np.flatnonzero(chunk == low), np.flatnonzero(chunk == high)
@@ -79,7 +85,7 @@ def compare(ids: np.ndarray, mult: np.ndarray, x: np.ndarray, codes: np.ndarray,
                 near &= r[:, None] < c[None, :]
             i, j = np.nonzero(near)
             i, j = r[i], c[j]
-            fresh = ~(codes[i, :table] == codes[j, :table]).any(axis=1)
+            fresh = ~(codes[i, :table] == codes[j, :table]).any(axis=1) & (codes[i, table] == codes[j, table])
             i, j = i[fresh], j[fresh]
             np.add.at(links, i, mult[j])
             np.add.at(links, j, mult[i])
@@ -91,26 +97,101 @@ def compare(ids: np.ndarray, mult: np.ndarray, x: np.ndarray, codes: np.ndarray,
         if len(a):
             root = _roots(len(ids), a, b, ids)
     hit = (links > 0) | (root != np.arange(len(ids)))
-    return ids[hit], links[hit], ids[root][hit]
+    return np.flatnonzero(hit), links[hit], ids[root][hit]
 
 
-KEYS = ["lab", "width", "tab", "code", "low", "high"]
+U = np.uint64
 
 
-def compare_stream(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+def unit_rows(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length one, in double precision, without overflow or underflow in the norm."""
+    x = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True)) + 0.0
+
+
+def _by_width(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, matrix) of a list column for each length of its lists."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    starts = np.r_[0, np.cumsum(sizes)]
+    for width in np.unique(sizes):
+        rows = np.flatnonzero(sizes == width)
+        yield rows, flat[starts[rows][:, None] + np.arange(width)]
+
+
+def spot_messages(batches: Iterator[pa.RecordBatch], bits: int, tables: int, names: list[int]) -> Iterator[pa.RecordBatch]:
+    """(node, label's hash, vector) -> packed (keys, nodes) of a batch's codes, a row a shard."""
+    shards = len(names)
+    for batch in batches:
+        nodes = batch.column(0).to_numpy(zero_copy_only=False)
+        labels = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+        keys, whose = [], []
+        for rows, x in _by_width(batch.column(2)):
+            codes = sign_codes(unit_rows(x), bits, tables).astype(np.uint64)
+            base = mix64(labels[rows] * U(0x9E3779B97F4A7C15) + U(x.shape[1]))
+            key = mix64(base[:, None] + mix64(codes + (np.arange(tables, dtype=np.uint64) << U(32))))
+            keys.append((key >> U(64 - HASH_BITS) << U(TABLE_BITS) | np.arange(tables, dtype=np.uint64)).ravel())
+            whose.append(np.repeat(nodes[rows], tables))
+        if not keys:
+            continue
+        keys, whose = np.concatenate(keys), np.concatenate(whose)
+        order = np.argsort(keys, kind="stable")
+        keys, whose = keys[order], whose[order].view(np.uint64)
+        cut = np.searchsorted((keys >> U(HASH_BITS + TABLE_BITS - 24)) * U(shards) >> U(24), np.arange(shards + 1))
+        out = [(names[s], pack_sorted(keys[a:b]), pack_ints(whose[a:b])) for s, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+        shard, k, w = zip(*out)
+        yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(k, pa.binary()), pa.array(w, pa.binary())], names=["shard", "keys", "nodes"])
+
+
+BUCKET = "tab int, lead long, chunks int, low int, high int, chunk int, nodes array<long>"
+
+
+def shard_buckets(pdf: pd.DataFrame, chunk: int = CHUNK) -> pd.DataFrame:
+    """The buckets of two or more vectors in a shard: (table, least node, number of chunks,
+    pair of chunks, chunk, nodes in order), one row for a bucket of up to ``CHUNK``, else one for each chunk and pair."""
+    keys = np.concatenate([unpack_sorted(k) for k in pdf["keys"]])
+    nodes = np.concatenate([unpack_ints(w) for w in pdf["nodes"]]).view(np.int64)
+    order = np.lexsort((nodes, keys))
+    keys, nodes = keys[order], nodes[order]
+    start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    end = np.r_[start[1:], len(keys)]
+    rows = []
+    for s, e in zip(*(x[end - start > 1].tolist() for x in (start, end))):
+        table, members = int(keys[s] & U((1 << TABLE_BITS) - 1)), nodes[s:e]
+        chunks = -(-len(members) // chunk)
+        parts = [members] if chunks == 1 else [members[k::chunks] for k in range(chunks)]
+        for k, part in enumerate(parts):
+            rows += [(table, int(members[0]), chunks, min(k, j), max(k, j), k, part) for j in range(chunks)]
+    return pd.DataFrame(rows, columns=["tab", "lead", "chunks", "low", "high", "chunk", "nodes"])
+
+
+KEYS = ["tab", "lead", "low", "high"]
+
+
+def compare_stream(batches: Iterator[pa.RecordBatch], threshold: float, bits: int, tables: int) -> Iterator[pa.RecordBatch]:
     """:func:`compare` for each run of equal keys in a stream that is sorted by them; one bucket,
-    or one pair of chunks, is in memory at a time."""
+    or one pair of chunks, is in memory at a time.  Labels and lengths are compared themselves:
+    a bucket may mix those whose hashes are equal."""
     held_key, held = None, []
 
-    def done(key: tuple, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-        ids = np.concatenate([p[0] for p in parts])
-        if len(ids) > 1:
-            x = np.frombuffer(b"".join(u for p in parts for u in p[2]), "<f8").reshape(len(ids), -1)
-            codes = np.frombuffer(b"".join(c for p in parts for c in p[3]), "<i4").reshape(len(ids), -1)
-            mult, chunk = np.concatenate([p[1] for p in parts]), np.concatenate([p[4] for p in parts])
-            found = compare(ids, mult, x, codes, chunk, int(key[2]), int(key[4]), int(key[5]), threshold)
-            if len(found[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(f) for f in found], names=["id", "links", "root"])
+    def done(key: tuple, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(parts).combine_chunks()
+        if whole.num_rows < 2:
+            return
+        labels = whole.column("label").to_pylist()
+        nodes, ids, mult, chunk = (whole.column(c).to_numpy() for c in ("node", "id", "mult", "chunk"))
+        for rows, x in _by_width(whole.column("v").combine_chunks()):
+            kinds: dict = {}
+            for k, r in enumerate(rows.tolist()):
+                kinds.setdefault(labels[r], []).append(k)
+            for some in kinds.values():
+                if len(some) < 2:
+                    continue
+                r, unit = rows[some], unit_rows(x[some])
+                at, links, root = compare(ids[r], mult[r], unit, sign_codes(unit, bits, tables), chunk[r], *map(int, (key[0], key[2], key[3])), threshold)
+                if len(at):
+                    r = r[at]
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[r]), pa.array(ids[r]), pa.array(links), pa.array(root)], names=["node", "id", "links", "root"])
 
     for batch in batches:
         keys = np.stack([batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in KEYS])
@@ -118,21 +199,18 @@ def compare_stream(batches: Iterator[pa.RecordBatch], threshold: float) -> Itera
         if not n:
             continue
         starts = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
-        ends = np.r_[starts[1:], n]
-        units, codes = batch.column("unit").to_pylist(), batch.column("codes").to_pylist()
-        ids, mult, chunk = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "mult", "chunk"))
-        for s, e in zip(starts, ends):
+        for s, e in zip(starts, np.r_[starts[1:], n]):
             key = tuple(keys[:, s])
             if held_key is not None and key != held_key:
                 yield from done(held_key, held)
                 held = []
             held_key = key
-            held.append((ids[s:e], mult[s:e], units[s:e], codes[s:e], chunk[s:e]))
+            held.append(batch.slice(s, e - s))
     if held:
         yield from done(held_key, held)
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, bits: int = BITS, tables: int = TABLES) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, bits: int = BITS, tables: int = TABLES, chunk: int = CHUNK) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``, one row per row of ``vectors``.
 
     Vectors are compared if their labels are equal and not null and their lengths are equal, by
@@ -144,69 +222,42 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     A pair at the threshold is found with probability ``recall_of(threshold)``, and a pair above it
     with a greater one; a pair that is found is verified, so none below the threshold links.
     """
+    if not 0 < bits <= 31 or not 0 < tables <= 1 << TABLE_BITS:
+        raise ValueError("codes have up to 31 bits, in up to 256 tables")
     spark = vectors.sparkSession
     prepare(spark)
-    base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
-
-    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, column, labels = batch.column(0), batch.column(1), batch.column(2)
-            out = []
-            for k in range(batch.num_rows):
-                v = column[k]
-                if not v.is_valid or not ids[k].is_valid or not labels[k].is_valid:
-                    out.append(None)
-                    continue
-                values = v.values
-                x = values.to_numpy(zero_copy_only=False) if len(values) and not values.null_count else None
-                if x is None or not np.isfinite(x).all() or not x.any():
-                    out.append(None)
-                    continue
-                x = x / np.abs(x).max()  # no overflow or underflow in the norm
-                out.append((x / np.sqrt((x * x).sum()) + 0.0).astype("<f8").tobytes())
-            yield pa.RecordBatch.from_arrays([ids, labels, pa.array(out, pa.binary())], names=["id", "label", "unit"])
-
-    label_type = base.schema["label"].dataType
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("label", label_type), T.StructField("unit", T.BinaryType())])
-    rows = written(base.mapInArrow(unit, schema), "vectors")
-    distinct = rows.where(F.col("unit").isNotNull()).groupBy("label", "unit").agg(F.min("id").alias("id"), F.count("*").alias("mult"))
-
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            units = [u.as_py() for u in batch.column(1)]
-            codes: list[bytes] = [b""] * len(units)
-            by_width: dict[int, list[int]] = {}
-            for k, u in enumerate(units):
-                by_width.setdefault(len(u), []).append(k)
-            for some in by_width.values():
-                found = sign_codes(np.stack([np.frombuffer(units[k], "<f8") for k in some]), bits, tables)
-                for k, c in zip(some, found):
-                    codes[k] = c.astype("<i4").tobytes()
-            wide = [np.frombuffer(c, "<i4") for c in codes]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.binary()), pa.array(wide, pa.list_(pa.int32()))], names=["label", "unit", "id", "mult", "codes", "wide"])
-
-    schema = T.StructType([T.StructField("label", label_type), *[T.StructField(n, t) for n, t in (("unit", T.BinaryType()), ("id", T.LongType()), ("mult", T.LongType()), ("codes", T.BinaryType()), ("wide", T.ArrayType(T.IntegerType())))]])
-    coded_rows = written(distinct.select("label", "unit", "id", "mult").mapInArrow(coded, schema), "vector-codes")
-
-    # The key of a vector row is (id, label, unit's hash): an id may be repeated with other vectors.
-    keyed = coded_rows.withColumn("node", F.xxhash64("label", "unit"))
-    spots = keyed.select("node", F.xxhash64("label").alias("lab"), F.length("unit").alias("width"), F.posexplode("wide").alias("tab", "code"))
-    where = ["lab", "width", "tab", "code"]
-    full = spots.groupBy(*where).agg(F.count("*").alias("n")).where("n > 1").select(*[F.col(c).alias(f"b_{c}") for c in where], F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-    on = [F.col(c) == F.col(f"b_{c}") for c in where]
-    members = spots.join(full, on).select("node", *where, "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    members = members.select(F.col("node").alias("m_node"), *where, "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
-    loaded = members.join(keyed.select("node", "unit", "id", "mult", "codes"), F.col("m_node") == F.col("node"))
-    grouped = loaded.select(*where, "low", "high", "chunk", "id", "mult", "unit", "codes")
-    ordered = grouped.repartition(partitions(spark), *KEYS).sortWithinPartitions(*KEYS)
-    found = written(ordered.mapInArrow(lambda batches: compare_stream(batches, threshold), "id long, links long, root long"), "vector-links")
+    names = spread_keys(shards_for(vectors, SHARD_BYTES))  # one shard to a partition
+    v, big = F.col("v"), F.lit(float("inf"))
+    number = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < big))
+    usable = F.col("id").isNotNull() & F.col("label").isNotNull() & v.isNotNull() & F.coalesce(number & F.exists(v, lambda x: x != 0), F.lit(False))
+    base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.col(label_col).alias("label")).withColumn("usable", usable)
+    distinct = base.where("usable").groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("mult"))
+    nodes = written(distinct.withColumn("node", F.monotonically_increasing_id()), "vectors")
+
+    # rows find their node by a hash, of a seed under which no two nodes collide
+    for seed in range(64):
+        name = F.xxhash64(F.lit(seed), F.col("label"), F.col("v"))
+        if nodes.groupBy(name.alias("h")).count().where("count > 1").isEmpty():
+            break
+    else:
+        raise RuntimeError("no seed tells the vectors apart")
+
+    spots = nodes.select("node", F.xxhash64("label"), "v").mapInArrow(lambda batches: spot_messages(batches, bits, tables, names), "shard int, keys binary, nodes binary")
+    buckets = written(spots.repartition(len(names), "shard").groupBy("shard").applyInPandas(lambda pdf: shard_buckets(pdf, chunk), BUCKET), "vector-buckets")
+    # a set that is a bucket in several tables: the first has all its pairs that no earlier bucket has
+    small = buckets.where("chunks = 1").groupBy("nodes").agg(F.min("tab").alias("tab"), F.min("lead").alias("lead"))
+    members = small.select("tab", "lead", *[F.lit(0).alias(c) for c in ("low", "high", "chunk")], F.explode("nodes").alias("member"))
+    members = members.unionByName(buckets.where("chunks > 1").select(*KEYS, "chunk", F.explode("nodes").alias("member")))
+    loaded = members.join(nodes, F.col("member") == F.col("node")).select(*KEYS, "chunk", "node", "id", "mult", "label", "v")
+    ordered = loaded.repartition(partitions(spark), *KEYS).sortWithinPartitions(*KEYS)
+    found = written(ordered.mapInArrow(lambda batches: compare_stream(batches, threshold, bits, tables), "node long, id long, links long, root long"), "vector-links")
 
     parts = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    linked = found.groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "l_id")
-    per = coded_rows.select("label", "unit", "id", "mult")
-    per = per.join(linked, F.col("id") == F.col("l_id"), "left").join(parts, F.col("id") == F.col("node"), "left")
-    per = per.select(F.col("label").alias("p_label"), F.col("unit").alias("p_unit"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    out = rows.join(per, (F.col("label") == F.col("p_label")) & (F.col("unit") == F.col("p_unit")), "left")
+    linked = found.groupBy(F.col("node").alias("l_node")).agg(F.sum("links").alias("links"))
+    per = nodes.select(name.alias("h"), "node", F.col("id").alias("of"), "mult")
+    per = per.join(linked, F.col("node") == F.col("l_node"), "left").drop("node").join(parts, F.col("of") == F.col("node"), "left")
+    per = per.select("h", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"), F.coalesce("component", "of").alias("component_id"))
+    rows = base.select("id", F.when(F.col("usable"), name).alias("r_h"))
+    out = rows.join(per, F.col("r_h") == F.col("h"), "left")
     component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

@@ -435,7 +435,7 @@ def test_embeddings_brute(spark, sf):
     same(got, brute.embeddings([tuple(r) for r in vectors.select("vec_id", "embedding", "label").collect()]))
 
 
-def test_embeddings_edges(spark, monkeypatch):
+def test_embeddings_edges(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=16)
     rows = [(k, (base + 0.03 * rng.normal(size=16)).tolist(), 1) for k in range(60)]
@@ -445,8 +445,8 @@ def test_embeddings_edges(spark, monkeypatch):
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], "vec_id long, embedding array<double>, label int, unit string, id string").repartition(4)
     expected = brute.embeddings([r if r[0] != 207 else (207, base.tolist(), 1) for r in rows])
     same(embed_dedup.near_vectors(df).collect(), expected)
-    monkeypatch.setattr(embed_dedup, "CHUNK", 7)  # chunks of one bucket meet in pairs
-    same(embed_dedup.near_vectors(df).collect(), expected)
+    same(embed_dedup.near_vectors(df, chunk=7).collect(), expected)  # chunks of one bucket meet in pairs
+    same(embed_dedup.near_vectors(df, bits=2, tables=40, chunk=20).collect(), expected)
     assert embed_dedup.near_vectors(df.limit(0)).collect() == []
     assert embed_dedup.recall_of(0.98) > 0.9999
 
