@@ -28,7 +28,7 @@ from nearfield.llm.shared import mix64, pack_ints, pack_sorted, partitions, prep
 TABLES = 40
 BITS = 20
 THRESHOLD = 0.98
-CHUNK = 1024
+CHUNK = 512
 SEED = 8
 #: Bytes of input vectors that one shard of the codes is made for.
 SHARD_BYTES = 16 << 20
@@ -46,7 +46,9 @@ def sign_codes(vectors: np.ndarray, bits: int = BITS, tables: int = TABLES, seed
     """The codes of each row, int32 of shape (n, tables).  Hyperplanes depend on the width only."""
     planes = np.random.Generator(np.random.PCG64([seed, vectors.shape[1]])).standard_normal((vectors.shape[1], bits * tables))
     signs = (vectors @ planes >= 0).reshape(len(vectors), tables, bits)
-    return (signs * (1 << np.arange(bits))).sum(axis=2).astype(np.int32)
+    out = np.zeros((len(vectors), tables, 4), np.uint8)
+    out[:, :, : -(-bits // 8)] = np.packbits(signs, axis=2, bitorder="little")
+    return out.view("<i4")[:, :, 0].astype(np.int32)
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -166,46 +168,51 @@ def shard_buckets(pdf: pd.DataFrame, chunk: int = CHUNK) -> pd.DataFrame:
 
 
 KEYS = ["tab", "lead", "low", "high"]
+#: Vector components that are widened to double precision at once.
+CELLS = 4_000_000
 
 
 def compare_stream(batches: Iterator[pa.RecordBatch], threshold: float, bits: int, tables: int) -> Iterator[pa.RecordBatch]:
-    """:func:`compare` for each run of equal keys in a stream that is sorted by them; one bucket,
-    or one pair of chunks, is in memory at a time.  Labels and lengths are compared themselves:
-    a bucket may mix those whose hashes are equal."""
+    """:func:`compare` for each run of equal keys and lengths in a stream that is sorted by them;
+    one bucket, or one pair of chunks, is in memory at a time.  Labels are compared themselves: a
+    bucket may mix those whose hashes are equal."""
     held_key, held = None, []
 
-    def done(key: tuple, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(parts).combine_chunks()
-        if whole.num_rows < 2:
-            return
-        labels = whole.column("label").to_pylist()
-        nodes, ids, mult, chunk = (whole.column(c).to_numpy() for c in ("node", "id", "mult", "chunk"))
-        for rows, x in _by_width(whole.column("v").combine_chunks()):
-            kinds: dict = {}
-            for k, r in enumerate(rows.tolist()):
-                kinds.setdefault(labels[r], []).append(k)
-            for some in kinds.values():
-                if len(some) < 2:
-                    continue
-                r, unit = rows[some], unit_rows(x[some])
-                at, links, root = compare(ids[r], mult[r], unit, sign_codes(unit, bits, tables), chunk[r], *map(int, (key[0], key[2], key[3])), threshold)
+    def done(key: tuple, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        node, ids, mult, chunk, unit, codes = parts[0][:6] if len(parts) == 1 else (np.concatenate([p[k] for p in parts]) for k in range(6))
+        kinds: dict = {}
+        for k, label in enumerate([x for p in parts for x in p[6]]):
+            kinds.setdefault(label, []).append(k)
+        for r in kinds.values():
+            if len(r) > 1:
+                at, links, root = compare(ids[r], mult[r], unit[r], codes[r], chunk[r], key[0], key[2], key[3], threshold)
                 if len(at):
-                    r = r[at]
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes[r]), pa.array(ids[r]), pa.array(links), pa.array(root)], names=["node", "id", "links", "root"])
-
-    for batch in batches:
-        keys = np.stack([batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in KEYS])
-        n = keys.shape[1]
-        if not n:
-            continue
-        starts = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
-        for s, e in zip(starts, np.r_[starts[1:], n]):
-            key = tuple(keys[:, s])
-            if held_key is not None and key != held_key:
-                yield from done(held_key, held)
-                held = []
-            held_key = key
-            held.append(batch.slice(s, e - s))
+                    r = np.array(r)[at]
+                    yield pa.RecordBatch.from_arrays([pa.array(node[r]), pa.array(ids[r]), pa.array(links), pa.array(root)], names=["node", "id", "links", "root"])
+
+    for whole in batches:
+        sizes = whole.column("v").value_lengths().to_numpy(zero_copy_only=False)
+        step = max(1, CELLS // max(int(sizes.max(initial=1)), 1))
+        for at in range(0, whole.num_rows, step):
+            batch, widths = whole.slice(at, step), sizes[at : at + step]
+            place, of_width = np.zeros(len(widths), np.int64), {}
+            for rows, x in _by_width(batch.column("v")):
+                unit = unit_rows(x)
+                of_width[x.shape[1]] = unit, sign_codes(unit, bits, tables)
+                place[rows] = np.arange(len(rows))
+            keys = np.stack([*[batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in KEYS], widths])
+            node, ids, mult, chunk = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "id", "mult", "chunk"))
+            labels = batch.column("label").to_pylist()
+            starts = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(widths)]):
+                key = tuple(keys[:, s].tolist())
+                if held_key is not None and key != held_key:
+                    yield from done(held_key, held)
+                    held = []
+                held_key = key
+                a, b = place[s], place[e - 1] + 1
+                unit, codes = of_width[key[4]]
+                held.append((node[s:e], ids[s:e], mult[s:e], chunk[s:e], unit[a:b], codes[a:b], labels[s:e]))
     if held:
         yield from done(held_key, held)
 
@@ -249,7 +256,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     members = small.select("tab", "lead", *[F.lit(0).alias(c) for c in ("low", "high", "chunk")], F.explode("nodes").alias("member"))
     members = members.unionByName(buckets.where("chunks > 1").select(*KEYS, "chunk", F.explode("nodes").alias("member")))
     loaded = members.join(nodes, F.col("member") == F.col("node")).select(*KEYS, "chunk", "node", "id", "mult", "label", "v")
-    ordered = loaded.repartition(partitions(spark), *KEYS).sortWithinPartitions(*KEYS)
+    ordered = loaded.repartition(partitions(spark), *KEYS).sortWithinPartitions(*KEYS, F.size("v"))
     found = written(ordered.mapInArrow(lambda batches: compare_stream(batches, threshold, bits, tables), "node long, id long, links long, root long"), "vector-links")
 
     parts = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
