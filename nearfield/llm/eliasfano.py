@@ -232,13 +232,16 @@ class Trie:
         ok = np.flatnonzero((node >= 0) & (word >= 0))
         if not len(ok):
             return out
-        begin, end = self.begins[k].access(node[ok]), self.begins[k].access(node[ok] + 1)
+        # neighbouring queries mostly share their node: its list is looked up once for all of them
+        head = np.r_[True, node[ok[1:]] != node[ok[:-1]]]
+        which, parent = np.cumsum(head) - 1, node[ok[head]]
+        begin, end = self.begins[k].access(parent), self.begins[k].access(parent + 1)
         seq = self.successors[k]
-        base = np.zeros(len(ok), np.int64)
+        base = np.zeros(len(parent), np.int64)
         late = begin > 0
         if late.any():
             base[late] = seq.access(begin[late] - 1)
-        out[ok] = seq.find(base + word[ok], begin, end)
+        out[ok] = seq.find(base[which] + word[ok], begin[which], end[which])
         return out
 
     def lookup(self, grams: np.ndarray) -> np.ndarray:

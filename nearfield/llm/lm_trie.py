@@ -25,18 +25,21 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.eliasfano import Trie
 from nearfield.llm.quality import blocks
-from nearfield.llm.shared import mix64, pack_ints, partitions, prepare, spread, spread_keys, unpack_ints
+from nearfield.llm.shared import mix64, pack_ints, prepare, shards_for, spread, spread_keys, unpack_ints
 
 U = np.uint64
 #: Hashes of the two tokens that are no words.
 BEGIN, END = U(0x517CC1B727220A95), U(0x2545F4914F6CDD1D)
 BLOCK_WORDS = 2_000_000
+#: Bytes of input files that one shard is made for.
+SHARD_BYTES = 8 << 20
 QUANTISED_BITS = 12
 
 
@@ -54,11 +57,12 @@ class Packer:
         return np.array([len(parts), *map(len, parts)], "<u4").tobytes() + b"".join(parts)
 
     @staticmethod
-    def unpack(data: bytes) -> list[np.ndarray]:
+    def unpack(data: bytes, most: int | None = None) -> list[np.ndarray]:
+        """The arrays, or the first ``most`` of them."""
         n = int.from_bytes(data[:4], "little")
         sizes = np.frombuffer(data[4 : 4 * (n + 1)], "<u4")
         at = 4 * (n + 1) + np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-        return [unpack_ints(data[a:b]) for a, b in zip(at, at[1:])]
+        return [unpack_ints(data[a:b]) for a, b in list(zip(at, at[1:]))[:most]]
 
 
 def grid(shards: int) -> tuple[int, int]:
@@ -66,7 +70,7 @@ def grid(shards: int) -> tuple[int, int]:
     return rows, max(1, shards // rows)
 
 
-def block_messages(texts: list[bytes], counts: np.ndarray, ids: np.ndarray, hashes: np.ndarray, train: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
+def block_messages(counts: np.ndarray, ids: np.ndarray, hashes: np.ndarray, train: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
     """(shard, message): per shard the contexts, the words, the bigrams among them (context,
     word, training count, number of occurrences) and the documents of the occurrences."""
     n_docs, v = len(counts), len(hashes)
@@ -100,23 +104,33 @@ def block_messages(texts: list[bytes], counts: np.ndarray, ids: np.ndarray, hash
         yield s, Packer.pack(all_hashes[contexts], all_hashes[words], np.bincount(c), w, seen[some], t, doc[at])
 
 
-def _open(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(context hashes, word hashes, training counts, occurrences, documents) of the pairs."""
-    contexts, words, per, w, seen, times, doc = Packer.unpack(data)
-    return np.repeat(contexts, per.astype(np.int64)), words[w.astype(np.int64)], seen.astype(np.int64), times.astype(np.int64), doc.astype(np.int64)
+class Pairs:
+    """A message, opened: its distinct contexts and words, and its pairs as places among these."""
+
+    def __init__(self, data: bytes) -> None:
+        self.contexts, self.words, per, w, seen, times, doc = Packer.unpack(data)
+        self.c = np.repeat(np.arange(len(per)), per.astype(np.int64))
+        self.w, self.seen, self.times, self.doc = (x.astype(np.int64) for x in (w, seen, times, doc))
+
+    def among(self, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Context and word of each pair as places in the sorted ``vocabulary``."""
+        return np.searchsorted(vocabulary, self.contexts)[self.c], np.searchsorted(vocabulary, self.words)[self.w]
 
 
 def shard_counts(messages: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(all words of the shard, sorted hashes; context and word of its training bigrams as places
-    among these; their counts), bigrams in order."""
-    parts = [_open(m)[:3] for m in messages]
-    context, word, seen = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    vocabulary = np.unique(np.concatenate([context, word]))
-    known = seen > 0
-    c, w = np.searchsorted(vocabulary, context[known]), np.searchsorted(vocabulary, word[known])
-    key = c * len(vocabulary) + w
+    among these; their counts), bigrams in order.  One message is open at a time."""
+    vocabulary = np.unique(np.concatenate([x for m in messages for x in Packer.unpack(m, 2)]))
+    keys, counts = [], []
+    for m in messages:
+        pairs = Pairs(m)
+        known = pairs.seen > 0
+        c, w = pairs.among(vocabulary)
+        keys.append(c[known] * len(vocabulary) + w[known])
+        counts.append(pairs.seen[known])
+    key, seen = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(key, kind="stable")
-    key, seen = key[order], seen[known][order]
+    key, seen = key[order], seen[order]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     count = np.add.reduceat(seen, first) if len(first) else np.zeros(0, np.int64)
     return vocabulary, key[first] // len(vocabulary), key[first] % len(vocabulary), count
@@ -155,14 +169,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Tokens are the words of the text with A-Z lowered, then one end.  Training documents are those
     of :func:`in_training`.  A null text is the empty one: its end token is scored.  Ids are
-    integers, may be null or repeated, and every row is scored for itself.  Extra columns are not
-    read.  Without training documents all words are unknown.  An empty table gives an empty result.
+    integers, may be null or repeated, and every row is scored for itself.  Words are told apart by
+    64-bit hashes.  Extra columns are not read.  Without training documents all words are unknown.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
     prepare(spark)
-    rows, cols = grid(partitions(spark))
+    wide = shards_for(docs, SHARD_BYTES)
+    rows, cols = grid(wide)
     shards = rows * cols
-    wide = partitions(spark)
     keys = spread_keys(shards, wide)  # one shard to a partition
     places = {k: i for i, k in enumerate(keys)}
 
@@ -171,8 +185,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         part = TaskContext.get().partitionId()
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            lowered = pa.array([t.as_py().lower() if t.is_valid else b"" for t in batch.column(1).cast(pa.binary())], pa.large_binary())
-            for block in blocks(lowered, BLOCK_WORDS):
+            for block in blocks(pc.ascii_lower(batch.column(1).cast(pa.large_string())), BLOCK_WORDS):
                 name = (part << 32) | n
                 n += 1
                 ids = doc_ids[block.rows.start : block.rows.stop]
@@ -180,7 +193,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 meta = pd.Series(ids, dtype="Int64")
                 head = Packer.pack(meta.fillna(0).to_numpy(np.int64).view(np.uint64), meta.isna().to_numpy(), train, block.counts + 1)
                 out = [(name % shards, name, True, head)]
-                out += [(s, name, False, m) for s, m in block_messages(block.texts, block.counts, block.ids, block.words.hashes(), train, shards)]
+                out += [(s, name, False, m) for s, m in block_messages(block.counts, block.ids, block.words.hashes(), train, shards)]
                 s, b, h, m = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in s], pa.int32()), pa.array(b, pa.int64()), pa.array(h, pa.bool_()), pa.array(m, pa.binary())], names=["shard", "block", "head", "message"])
 
@@ -234,13 +247,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 grams = [np.arange(len(known))[:, None], np.stack([place[c], place[w]], axis=1)]
                 Trie.write(folder, grams, [p1[known], p2], [back[known]], bits)
                 trie = Trie(folder)
+                plain = np.log10(totals[2] + 1.0)
                 for block, m in zip(messages["block"], messages["message"]):
-                    context, word, _, times, doc = _open(m)
-                    u, x = np.searchsorted(vocabulary, context), np.searchsorted(vocabulary, word)
+                    pairs = Pairs(m)
+                    times, doc = pairs.times, pairs.doc
+                    u, x = pairs.among(vocabulary)
                     is_known = totals[2][x] > 0
                     value, _ = trie.score(place[u][:, None], np.where(is_known, place[x], -1))
                     value = value + np.where(is_known, 0.0, unknown)
-                    base = np.log10(totals[2][x] + 1.0)
+                    base = plain[x]
                     n = int(doc.max()) + 1
                     sums = [np.bincount(doc, np.repeat(v, times), n) for v in (value, base, is_known.astype(float))]
                     here = np.unique(doc)

@@ -12,15 +12,17 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from nearfield.llm.shared import WordIds, dropped, prepare, spread, written
+from nearfield.llm.shared import Words, dropped, prepare, spread, written
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -109,29 +111,39 @@ class Block:
     """Some documents of an Arrow batch with their words as local ids."""
 
     rows: range
-    texts: list[bytes]
+    source: pa.Array
     counts: np.ndarray  # words of each document
     ids: np.ndarray
     doc: np.ndarray  # document of each word, from 0
-    words: WordIds
+    words: Words
+
+    @cached_property
+    def texts(self) -> list[bytes]:
+        return self.source.cast(pa.large_binary()).to_pylist()
 
 
 def blocks(texts: pa.Array, most: int = 500_000) -> Iterator[Block]:
-    """Whole documents in blocks of about ``most`` words, which bounds a worker's memory."""
-    start, held, lists, words, total = 0, [], [], WordIds(), 0
-    for k in range(len(texts) + 1):
-        if k == len(texts) or total >= most:
-            if held:
-                counts = np.array([len(x) for x in lists], np.int64)
-                ids = np.concatenate(lists) if total else np.zeros(0, np.int64)
-                yield Block(range(start, k), held, counts, ids, np.repeat(np.arange(len(held)), counts), words)
-            start, held, lists, words, total = k, [], [], WordIds(), 0
-            if k == len(texts):
-                return
-        text = texts[k].as_py() or b""
-        held.append(text)
-        lists.append(np.array(words.of(text.split()), np.int64))
-        total += len(lists[-1])
+    """Whole documents in blocks of about ``most`` words of five bytes, which bounds a worker's
+    memory; a longer document is a block of its own.  A null text is the empty one.  Words are what
+    the six ASCII white-space characters separate."""
+    texts = pc.fill_null(texts.cast(pa.large_binary()).cast(pa.large_string()), "")
+    upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(texts):
+        before = upto[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(upto, before + 6 * most, "right")))
+        part = texts.slice(start, stop - start)
+        lists = pc.ascii_split_whitespace(part)
+        counts = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        words = lists.flatten()
+        doc = np.repeat(np.arange(len(part)), counts)
+        if len(words) and (full := pc.greater(pc.binary_length(words), 0)).false_count:
+            words, doc = words.filter(full), doc[full.to_numpy(zero_copy_only=False)]
+            counts = np.bincount(doc, minlength=len(part))
+        coded = words.dictionary_encode()
+        names = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        yield Block(range(start, stop), part, counts, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), doc, Words(names))
+        start = stop
 
 
 @dataclass
@@ -166,9 +178,9 @@ def learn_references(docs: DataFrame, text_col: str = "text", lang_col: str = "l
 
         for batch in batches:
             langs = batch.column(1).to_pylist()
-            for block in blocks(batch.column(0).cast(pa.binary())):
+            for block in blocks(batch.column(0)):
                 ends = np.cumsum(block.counts)
-                names = list(block.words.ids)
+                names = block.words.names
                 for k, row in enumerate(block.rows):
                     lang, n = langs[row], int(block.counts[k])
                     if lang is None or n < reference_words:
@@ -297,9 +309,7 @@ def judge(texts: pa.Array, langs: list[str | None], refs: References, limits: Li
             by_class[:] = by_word[:] = np.inf
             own = np.array([known.get(langs[r], -1) for r in block.rows])
             share = chars / np.maximum(n_chars, 1)[:, None]
-            column = np.full(max(1, len(block.words.ids)), len(refs.common))
-            for w, i in block.words.ids.items():
-                column[i] = refs.common.get(w, len(refs.common))
+            column = np.array([refs.common.get(w, len(refs.common)) for w in block.words.names], np.int64)
             width = len(refs.common) + 1
             key, counts = np.unique(block.doc * width + column[block.ids], return_counts=True)
             doc, column = key // width, key % width
@@ -339,7 +349,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                out = judge(batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), refs, limits)
+                out = judge(batch.column(1), batch.column(2).to_pylist(), refs, limits)
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(out[f.name]) for f in schema.fields[1:]]], names=schema.names)
 
     ids = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
@@ -357,7 +367,7 @@ def kept_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
         for batch in batches:
             if batch.num_rows:
                 langs = [None if x is None else str(x) for x in batch.column(lang_at).to_pylist()]
-                out = judge(batch.column(text_at).cast(pa.binary()), langs, refs, limits)
+                out = judge(batch.column(text_at), langs, refs, limits)
                 yield batch.filter(pa.array(out["kept"]))
 
     return spread(docs).mapInArrow(run, docs.schema)

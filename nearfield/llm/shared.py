@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from nearfield.sources.scratch import dropped, written
 
-__all__ = ["WordIds", "dropped", "mix64", "pack_ints", "pack_sorted", "partitions", "prepare", "shards_for", "spread", "spread_keys", "unpack_ints", "unpack_sorted", "words_of", "written"]
+__all__ = ["Words", "dropped", "mix64", "pack_ints", "pack_sorted", "partitions", "prepare", "shards_for", "spread", "spread_keys", "unpack_ints", "unpack_sorted", "written"]
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -51,14 +51,6 @@ def shards_for(df: DataFrame, each: int = SHARD_BYTES) -> int:
     return max(partitions(df.sparkSession), -(-known // each))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """The maximal runs of ``[^\\x20\\x09-\\x0D]`` of a text, in UTF-8 (null: none).
-
-    ``bytes.split()`` cuts at exactly those six characters.
-    """
-    return (text or "").encode("utf-8", "surrogatepass").split()
-
-
 def pack_sorted(values: np.ndarray) -> bytes:
     """Sorted uint64 -> bytes: gaps, byte planes, zstd.  High planes of the gaps vanish."""
     return pack_ints(np.diff(values, prepend=np.uint64(0)))
@@ -96,22 +88,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class WordIds:
-    """Local ids of words with their 64-bit hashes; a new one for each block of documents."""
-
-    def __init__(self, seed: int = 0) -> None:
-        self.ids: dict[bytes, int] = {}
-        self.seed = seed
+class Words:
+    """The distinct words of a block of documents, in the order of their local ids."""
 
-    def of(self, words: list[bytes]) -> list[int]:
-        ids = self.ids
-        return [ids.setdefault(w, len(ids)) for w in words]
+    def __init__(self, names: list[bytes]) -> None:
+        self.names = names
 
-    def hashes(self, seed: int | None = None) -> np.ndarray:
+    def hashes(self, seed: int = 0) -> np.ndarray:
         from xxhash import xxh3_64_intdigest as h
 
-        seed = self.seed if seed is None else seed
-        return np.fromiter((h(w, seed) for w in self.ids), dtype=np.uint64, count=len(self.ids))
+        return np.fromiter((h(w, seed) for w in self.names), dtype=np.uint64, count=len(self.names))
 
 
 def spread_keys(n: int, partitions: int | None = None) -> list[int]:

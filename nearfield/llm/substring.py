@@ -233,7 +233,7 @@ class SubstringIndex:
         def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
-                for block in blocks(batch.column(1).cast(pa.binary())):
+                for block in blocks(batch.column(1)):
                     out = _block_entries(block, ids[block.rows.start : block.rows.stop], window, inner, names)
                     if out is not None:
                         yield out
@@ -343,7 +343,7 @@ def repeats(docs: DataFrame, matches: DataFrame, window: int = WINDOW, inner: in
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             keys = batch.column(2)
-            for block in blocks(batch.column(1).cast(pa.binary())):
+            for block in blocks(batch.column(1)):
                 wanted = [keys[r].values.to_numpy(zero_copy_only=False) for r in block.rows]
                 rows = _window_entries(block, ids[block.rows.start : block.rows.stop], wanted, window, inner, names)
                 if rows:
