@@ -185,7 +185,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         part = TaskContext.get().partitionId()
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for block in blocks(pc.ascii_lower(batch.column(1).cast(pa.large_string())), BLOCK_WORDS):
+            for block in blocks(pc.ascii_lower(batch.column(1)), BLOCK_WORDS):
                 name = (part << 32) | n
                 n += 1
                 ids = doc_ids[block.rows.start : block.rows.stop]

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from nearfield.llm.shared import Words, dropped, prepare, spread, written
+from nearfield.llm.shared import Words, dropped, prepare, settle, spread, written
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -126,13 +126,12 @@ def blocks(texts: pa.Array, most: int = 500_000) -> Iterator[Block]:
     """Whole documents in blocks of about ``most`` words of five bytes, which bounds a worker's
     memory; a longer document is a block of its own.  A null text is the empty one.  Words are what
     the six ASCII white-space characters separate."""
-    texts = pc.fill_null(texts.cast(pa.large_binary()).cast(pa.large_string()), "")
-    upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < len(texts):
         before = upto[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(upto, before + 6 * most, "right")))
-        part = texts.slice(start, stop - start)
+        part = pc.fill_null(texts.slice(start, stop - start).cast(pa.large_string()), "")
         lists = pc.ascii_split_whitespace(part)
         counts = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         words = lists.flatten()
@@ -144,6 +143,8 @@ def blocks(texts: pa.Array, most: int = 500_000) -> Iterator[Block]:
         names = coded.dictionary.cast(pa.large_binary()).to_pylist()
         yield Block(range(start, stop), part, counts, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), doc, Words(names))
         start = stop
+        del part, lists, words, coded
+    settle()
 
 
 @dataclass

@@ -5,6 +5,7 @@ sorted integers, and keys that spread over partitions.
 from __future__ import annotations
 
 import os
+import sys
 from pathlib import Path
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from nearfield.sources.scratch import dropped, written
 
-__all__ = ["Words", "dropped", "mix64", "pack_ints", "pack_sorted", "partitions", "prepare", "shards_for", "spread", "spread_keys", "unpack_ints", "unpack_sorted", "written"]
+__all__ = ["Words", "dropped", "mix64", "pack_ints", "pack_sorted", "partitions", "prepare", "settle", "shards_for", "spread", "spread_keys", "unpack_ints", "unpack_sorted", "written"]
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -88,6 +89,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def settle() -> None:
+    """Give memory that is free back to the system: workers live as long as the session, and what
+    one stage needed would stand against the next one's."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Words:
     """The distinct words of a block of documents, in the order of their local ids."""
 

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from nearfield.llm.components import connected_components
-from nearfield.llm.shared import partitions, prepare, spread, written
+from nearfield.llm.shared import partitions, prepare, settle, spread, written
 
 RADIUS = 2
 SHINGLE = 3
@@ -73,6 +73,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts = batch.column(1).cast(pa.binary())
             fps = fold([np.array(shingle_hashes(t.as_py() or b""), dtype=np.uint64) for t in texts])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
+        settle()
 
     return spread(docs.select(id_col, text_col)).mapInArrow(run, schema)
 
@@ -218,6 +219,7 @@ def links(distinct_fps: DataFrame, radius: int = RADIUS, split: int = SPLIT) ->
                     yield out()
                     edges.clear()
         yield out()
+        settle()
 
     spark = distinct_fps.sparkSession
     keys = distinct_fps.select("fp").mapInArrow(keyed, "key long, fp long")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearfield.llm.quality import Block, blocks
-from nearfield.llm.shared import mix64, pack_ints, pack_sorted, prepare, shards_for, spread, spread_keys, unpack_ints, unpack_sorted
+from nearfield.llm.shared import mix64, pack_ints, pack_sorted, prepare, settle, shards_for, spread, spread_keys, unpack_ints, unpack_sorted
 from nearfield.sources.scratch import new_path
 
 WINDOW = 13
@@ -154,6 +154,7 @@ def merge_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     keep = np.ones(len(start), bool) if not old.any() or (pdf["history"].all()) else ~np.logical_or.reduceat(old, start)
     held = pd.DataFrame({"run": [True], "shard": [int(pdf["shard"].iloc[0])], "keys": [pack_sorted(keys[start][keep])], "docs": [_raw(docs[start][keep])], "many": [pack_ints(shared[keep])]})
     out = pd.concat([held, match.assign(run=False)])
+    settle()
     return out.reindex(columns=["run", "shard", "keys", "docs", "many", "doc", "key"]).astype({"shard": "Int32", "doc": "Int64", "key": "Int64"})
 
 
@@ -329,6 +330,7 @@ def verify_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     later = docs > docs[first][np.cumsum(first) - 1]
     docs = np.concatenate([docs[later], *[_ids(x) for x in pdf["also_docs"]]])
     at = np.concatenate([at[later], *[unpack_ints(x) for x in pdf["also_at"]]])
+    settle()
     return pd.DataFrame({"doc": docs, "at": at.astype(np.int32)})
 
 
@@ -446,5 +448,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 arrays = [*batch.columns[: len(columns)]]
                 arrays[text_at] = pa.array(new, pa.string())
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+        settle()
 
     return both.mapInArrow(run, schema)
