@@ -145,3 +145,9 @@ def separable_unimodal(x: Column) -> Column:
     peak1, top1, bend1 = 120.0, 500_000.0, 8.0
     peak2, top2, bend2 = 0.91, 12.5, 110.0
     return F.array(top1 - bend1 * (x[0] - peak1) * (x[0] - peak1), top2 - bend2 * (x[1] - peak2) * (x[1] - peak2))
+
+
+def standardize(value: Column) -> tuple[Column, Column]:
+    """Aggregates (median, population deviation); the deviation is 1 where it is 0 or unknown."""
+    sd = F.stddev_pop(value)
+    return F.median(value), F.when((sd > 0) & (sd < INF), sd).otherwise(F.lit(1.0))

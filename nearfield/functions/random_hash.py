@@ -56,7 +56,7 @@ def query_normal_hash(seed: object, position: object, metric: object) -> np.ndar
 
 def _check_metrics(num_metrics: int) -> int:
     if num_metrics <= 0:
-        raise ValueError(f"num_metrics must be positive, got {num_metrics}")
+        raise ValueError(f"{num_metrics} metrics: at least one is needed")
     return num_metrics
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from nearfield.sources.scratch import dropped, written
+
 
 def _local_front(pdf: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held: pd.DataFrame | None = None
@@ -40,11 +42,15 @@ def pareto_layers(points: DataFrame, layers: int) -> DataFrame:
     """``(id, a, b, layer)`` for the first ``layers`` fronts, each found among what is left."""
     rest, out = points, None
     for k in range(layers):
-        front = pareto_front(rest)
+        # written: the next layer would run this one's plan three times
+        front = written(pareto_front(rest), "pareto-front")
         found = front.withColumn("layer", F.lit(k))
         out = found if out is None else out.unionByName(found)
-        gone = front.select(F.col("id").alias("gone"))
-        rest = rest.join(gone, F.col("id") == F.col("gone"), "left_anti")
+        if k < layers - 1:
+            gone = front.select(F.col("id").alias("gone"))
+            left = written(rest.join(gone, F.col("id") == F.col("gone"), "left_anti"), "pareto-rest")
+            dropped(rest)
+            rest = left
     return out
 
 

@@ -209,3 +209,9 @@ def sample(result: DataFrame, num_samples: int, seed: int) -> DataFrame:
     many = result.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(num_samples - 1))))
     z = normal_column(F.xxhash64(F.lit(int(seed)), F.col("sample")), F.col("query_id"), F.col("metric"))
     return many.select("query_id", "metric", "sample", (F.col("mu") + F.col("se") * z).alias("value"))
+
+
+def upper_confidence(post: DataFrame, beta: float, arms: int) -> DataFrame:
+    """``(query_id, ucb)``: the ``arms`` queries of greatest mu + beta * se, ties to the smaller id."""
+    ucb = post.select("query_id", (F.col("mu") + beta * F.col("se")).alias("ucb"))
+    return ucb.orderBy(F.desc("ucb"), "query_id").limit(arms)

@@ -92,7 +92,7 @@ class ENNStatefulFitter:
         from nearfield.api import EpistemicNearestNeighbors
 
         if not isinstance(model, EpistemicNearestNeighbors):
-            raise TypeError(f"Expected EpistemicNearestNeighbors, got {type(model)}")
+            raise TypeError(f"a model is needed to fit scales, not a {type(model).__name__}")
         if len(model) < 2:
             return ENNParams(self._k, 1.0, 0.0)
         tries = [ENNParams(self._k, float(e), float(a)) for e, a in candidate_params(num_fit_candidates or CANDIDATES, self.rng, self._infer)]

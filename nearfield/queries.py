@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions import expr
-from nearfield.functions.random_hash import normal_column
+from nearfield.functions.random_hash import normal_column, query_normal_column
 from nearfield.operators import encode, fit, fronts, knn, posterior, sobol
+from nearfield.plans.fitter import candidate_params
 from nearfield.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -357,9 +358,8 @@ def sobol_lineitem(spark, sf_dir):
 
 @query("select round(median(value), 6) as center, round(stddev_pop(value), 6) as scale from events")
 def standardize_y(spark, sf_dir):
-    sd = F.stddev_pop("value")
-    out = table(spark, sf_dir, "events").agg(F.median("value").alias("center"), F.when(sd > 0, sd).otherwise(F.lit(1.0)).alias("scale"))
-    return rounded(out, "center", "scale")
+    center, scale = expr.standardize(F.col("value"))
+    return rounded(table(spark, sf_dir, "events").agg(center.alias("center"), scale.alias("scale")), "center", "scale")
 
 
 # ------------------------------------------------------------------ streams and incumbents
@@ -442,8 +442,7 @@ def scalarize(spark, sf_dir):
 @query(f"with {NEAR}, p as ({moments_sql('x', noise=True).replace('round(', '(').replace(', 6)', ')')}) select query_id, round(mu + 2.0 * se, 6) as ucb from p order by mu + 2.0 * se desc, query_id limit 8")
 def ucb_topk(spark, sf_dir):
     post = posterior.posterior(*vectors(spark, sf_dir), 10, 1.0, 0.1, exclude_nearest=True, observation_noise=True)
-    ucb = post.select("query_id", (F.col("mu") + 2.0 * F.col("se")).alias("ucb"))
-    return rounded(ucb.orderBy(F.desc("ucb"), "query_id").limit(8), "ucb")
+    return rounded(posterior.upper_confidence(post, 2.0, 8), "ucb")
 
 
 # ------------------------------------------------------------------ maps and objectives
@@ -547,19 +546,55 @@ def snap(spark, sf_dir):
     return encode.snap_table(encoded, codes)
 
 
-@query()
+@query("select event_id, value from events order by md5('17:' || event_id::varchar), event_id limit 1000")
 def reservoir(spark, sf_dir):
     """A uniform sample of 1000 events that any partitioning and order of arrival leaves the same."""
     return ingest.bottom_k(table(spark, sf_dir, "events"), "event_id", 1000, 17).select("event_id", "value")
 
 
-@query()
+def search_rows() -> list[tuple[int, int, float, float]]:
+    return [(i, 10, float(e), float(a)) for i, (e, a) in enumerate(candidate_params(30, np.random.default_rng(0)))]
+
+
+@query(
+    f"""with {NEAR}, p as (select * from (values {', '.join(f"({i}, {k}, {e!r}::double, {a!r}::double)" for i, k, e, a in search_rows())}) v(param_id, k, epi, ale)), {LOO},
+l as (select param_id, sum(-0.5 * ln(2 * pi() * (se / ys) * (se / ys)) - 0.5 * pow((label / ys - mu / ys) / (se / ys), 2)) as loglik from u join embeddings on qid = vec_id group by param_id)
+select param_id, round(epi, 6) as epi, round(ale, 6) as ale, round(loglik, 6) as loglik from l join p using (param_id) order by l.loglik desc, param_id desc limit 1"""
+)
 def fit_search(spark, sf_dir):
     """The likeliest of 30 random scale pairs by the leave-one-out likelihood."""
-    from nearfield.plans.fitter import candidate_params
-
     _, o = vectors(spark, sf_dir)
-    rows = [(i, 10, float(e), float(a)) for i, (e, a) in enumerate(candidate_params(30, np.random.default_rng(0)))]
+    rows = search_rows()
     params = spark.createDataFrame(rows, "param_id int, k int, epi double, ale double")
     loglik = fit.subsample_loglik(o.where("row_id % 20 = 0"), o, params)
-    return fit.best_params(loglik).join(F.broadcast(params), "param_id").select("param_id", "epi", "ale", "loglik")
+    return rounded(fit.best_params(loglik).join(F.broadcast(params), "param_id").select("param_id", "epi", "ale", "loglik"), "epi", "ale", "loglik")
+
+
+# ------------------------------------------------------------------ more of the model
+
+
+@query(
+    f"""with q as (select vec_id as qid from embeddings where vec_id % 20 = 0)
+select qid as query_id, 0 as metric, 0.0::double as mu, 1.0::double as se from q"""
+)
+def prior(spark, sf_dir):
+    """A model without rows answers with its prior."""
+    q, o = vectors(spark, sf_dir)
+    none = posterior.posterior(q, o.where("false"), 10, 1.0, 0.1)
+    return rounded(posterior.with_prior(none, q, 1).select("query_id", "metric", "mu", "se"), "mu", "se")
+
+
+FEW = NEAR.replace("yvar from embeddings)", "yvar from embeddings where vec_id < 12)")
+
+
+@query(f"with {FEW} {moments_sql('x', k='11')}")
+def usable_k(spark, sf_dir):
+    """Of 12 rows a stored query has 11 others: then no query of the batch uses more."""
+    q, o = vectors(spark, sf_dir)
+    return rounded(posterior.posterior(q, o.where("row_id < 12"), 12, 1.0, 0.1, exclude_nearest=True, strict_batch_k=True), *POST)
+
+
+@query(f"with src as (select event_id from events), {normal_sql('src', '7', 'event_id', str(0xC0FFEE00D15CA11E))} select event_id, round(z, 6) as z from zt")
+def query_noise_hash(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return rounded(e.select("event_id", query_normal_column(F.lit(7), F.col("event_id"), F.lit(0)).alias("z")), "z")

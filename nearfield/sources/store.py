@@ -27,7 +27,7 @@ class Files:
     """The few file operations a store needs, on any Hadoop file system."""
 
     def __init__(self, spark: SparkSession) -> None:
-        self.jvm, self.conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self.spark, self.jvm, self.conf = spark, spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
 
     def _at(self, path: str):
         p = self.jvm.org.apache.hadoop.fs.Path(path)
@@ -46,17 +46,18 @@ class Files:
             stream.close()
 
     def replace(self, path: str, text: str) -> None:
-        """Write beside, then rename: readers see the old text or the new one."""
+        """Write beside, then rename over it in one step: a reader, or a crash at any point, sees
+        the old text or the new one."""
         fs, p = self._at(path)
         fs.mkdirs(p.getParent())
         side = self.jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
         stream = fs.create(side, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        if fs.exists(p):
-            fs.delete(p, False)
-        if not fs.rename(side, p):
-            raise OSError(f"can't write {path}")
+        hadoop = self.jvm.org.apache.hadoop.fs
+        over = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+        over[0] = hadoop.Options.Rename.OVERWRITE
+        hadoop.FileContext.getFileContext(p.toUri(), self.conf).rename(side, p, over)
 
     def create(self, path: str) -> bool:
         """Make a file that must not exist yet."""
@@ -127,7 +128,7 @@ class ObservationStore:
         if self.files.exists(f"{self.path}/identity.json") and json.loads(self.files.read(f"{self.path}/identity.json"))["committed"]:
             raise ValueError(f"{self.path} holds a store; open it")
         self.lock()
-        self.files.delete(f"{self.path}/rows")
+        self.files.delete(f"{self.path}/rows")  # of a store that never committed
         bounds = check_y_bounds(y_bounds, num_metrics)
         self.identity = {"num_dim": num_dim, "num_metrics": num_metrics, "has_yvar": has_yvar, "weighting": weighting, "tied_dims": [list(map(int, g)) for g in tied_dims], "y_bounds": [[float(v).hex() for v in b] for b in bounds], "batches": 0, "num_obs": 0, "committed": False}
         return self
@@ -146,10 +147,26 @@ class ObservationStore:
             self.lock()
         return self
 
+    def _change(self, **changes: object) -> None:
+        """Change the identity and commit it, or leave both as they were."""
+        before = dict(self.identity)
+        self.identity |= changes
+        if self.identity["committed"]:
+            try:
+                self.commit()
+            except BaseException:
+                self.identity = before
+                raise
+
+    @property
+    def folder(self) -> str:
+        """Where the rows are: a new folder for every version of them."""
+        return f"{self.path}/{self.identity.get('rows', 'rows')}"
+
     def clear(self) -> None:
-        self.files.delete(f"{self.path}/rows")
-        self.identity |= {"batches": 0, "num_obs": 0}
-        self.commit()
+        old = self.folder
+        self._change(batches=0, num_obs=0, rows=f"rows-{uuid.uuid4().hex}")
+        self.files.delete(old)
 
     # -- rows
 
@@ -159,14 +176,15 @@ class ObservationStore:
 
     def rows(self) -> DataFrame:
         """All committed rows: ``(row_id, x, y, y_natural, yvar)``, y on the line if bounded."""
-        paths = [f"{self.path}/rows/batch={k}" for k in range(self.identity["batches"])]
+        paths = [f"{self.folder}/batch={k}" for k in range(self.identity["batches"])]
         if not paths:
             return self.spark.createDataFrame([], SCHEMA)
         return self.spark.read.schema(SCHEMA).parquet(*paths)
 
-    def append(self, rows: DataFrame) -> int:
-        """Append ``rows(position, x, y[, yvar])``, positions from 0 without gaps, and commit.
-        Values are checked where the rows are: a bad one fails the job and nothing is committed."""
+    def append(self, rows: DataFrame, **also: object) -> int:
+        """Append ``rows(position, x, y[, yvar])``, positions from 0 without gaps, and commit, with
+        the entries ``also`` of the identity.  Values are checked where the rows are: a bad one
+        fails the job and nothing is committed."""
         i = self.identity
         x, y = expr.doubles(F.col("x")), expr.doubles(F.col("y"))
         fine = lambda a: F.forall(a, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < expr.INF))
@@ -179,14 +197,13 @@ class ObservationStore:
         checked = rows.select((F.col("position") + i["num_obs"]).alias("row_id"), F.when(F.coalesce(ok, F.lit(False)), x).otherwise(F.raise_error(F.lit("a row of wrong width, or NaN or Inf, or a wrong yvar")).cast("array<double>")).alias("x"), y.alias("y"), v.alias("yvar"))
         bounds = self.y_bounds
         out = checked.withColumn("y_natural", F.col("y")) if identity_bounds(bounds) else warp_observations(checked, bounds)
-        where = f"{self.path}/rows/batch={i['batches']}"
+        where = f"{self.folder}/batch={i['batches']}"
         out.select("row_id", "x", "y", "y_natural", "yvar").write.mode("overwrite").parquet(where)
         n = self.spark.read.schema(SCHEMA).parquet(where).count()
         if n:
-            i["batches"] += 1
-            i["num_obs"] += n
-            if i["committed"]:
-                self.commit()
+            also |= {"batches": i["batches"] + 1, "num_obs": i["num_obs"] + n}
+        if also:
+            self._change(**also)
         return n
 
     def append_arrays(self, x: object, y: object, yvar: object | None = None) -> int:
@@ -211,16 +228,12 @@ class ObservationStore:
         return y_scales(self.rows())
 
     def nbytes(self) -> int:
-        return self.files.size(f"{self.path}/rows")
+        return self.files.size(self.folder)
 
     def compact(self, files: int) -> None:
-        """Rewrite all batches as one, in ``files`` files."""
-        whole = self.rows().repartitionByRange(files, "row_id")
-        side = f"{self.path}/rows-{uuid.uuid4().hex}"
-        whole.write.parquet(f"{side}/batch=0")
-        old = f"{self.path}/rows"
-        fs, p = self.files._at(side)
+        """Rewrite all batches as one, in ``files`` files: written to a new folder, which the
+        identity names from its commit on; only then does the old one go."""
+        old, new = self.folder, f"rows-{uuid.uuid4().hex}"
+        self.rows().repartitionByRange(files, "row_id").write.parquet(f"{self.path}/{new}/batch=0")
+        self._change(rows=new, batches=1)
         self.files.delete(old)
-        fs.rename(p, self.files._at(old)[1])
-        self.identity["batches"] = 1
-        self.commit()

@@ -27,11 +27,15 @@ def moments(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def merge_moments(a: DataFrame, b: DataFrame) -> DataFrame:
-    """The moments of both inputs together."""
+    """The moments of both inputs together, of which each has a key once.  Keys without a value
+    in either are left out."""
     both = a.unionByName(b)
     mean = F.sum(F.col("n") * F.col("mean")) / F.sum("n")
-    first = both.groupBy("key").agg(F.sum("n").alias("n"), mean.alias("mean"), F.sum(F.col("m2") + F.col("n") * F.col("mean") * F.col("mean")).alias("raw"), F.min("low").alias("low"), F.max("high").alias("high"))
-    return first.select("key", "n", "mean", F.greatest(F.col("raw") - F.col("n") * F.col("mean") * F.col("mean"), F.lit(0.0)).alias("m2"), "low", "high")
+    parts = F.collect_list(F.struct("n", "mean", "m2"))  # one of each input
+    first = both.where("n > 0").groupBy("key").agg(F.sum("n").alias("n"), mean.alias("mean"), parts.alias("parts"), F.min("low").alias("low"), F.max("high").alias("high"))
+    # deviations from the common mean are added: raw squares would cancel where the mean is large
+    m2 = F.aggregate("parts", F.lit(0.0), lambda sum_, p: sum_ + p["m2"] + p["n"] * (p["mean"] - F.col("mean")) * (p["mean"] - F.col("mean")))
+    return first.select("key", "n", "mean", m2.alias("m2"), "low", "high")
 
 
 def deviation(state: DataFrame) -> DataFrame:
@@ -41,7 +45,7 @@ def deviation(state: DataFrame) -> DataFrame:
 
 
 def sample_key(row_id: Column, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), row_id.cast("long"))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), row_id.cast("string")))
 
 
 def bottom_k(rows: DataFrame, id_col: str, capacity: int, seed: int) -> DataFrame:
@@ -60,8 +64,7 @@ def ingest(stream: DataFrame, store: ObservationStore, checkpoint: str, to_rows:
         if number < store.identity.get("stream_batches", 0):
             return
         rows = to_rows(batch)
-        store.identity["stream_batches"] = number + 1
-        store.append(rows)
+        store.append(rows, stream_batches=number + 1)  # one commit for the rows and the number
         if on_batch:
             on_batch(rows, number)
 

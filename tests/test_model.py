@@ -314,3 +314,44 @@ def test_one_short_query_can_shorten_all(spark):
     q = spark.createDataFrame([(i, [i + 0.1 * j for j in range(2)]) for i in range(5)] + [(100 + i, [100.0 + i, 100.1 + i]) for i in range(5)], "query_id long, x array<double>")
     counts = lambda **k: {r["n_neighbors"] for r in posterior(q, o, 10, exclude_nearest=True, **k).collect()}
     assert counts() == {9, 10} and counts(strict_batch_k=True) == {9}
+
+
+def test_store_survives_a_stop_at_any_step(spark, tmp_path, monkeypatch):
+    from nearfield.sources.store import Files, ObservationStore
+
+    path = str(tmp_path / "store")
+    store = ObservationStore.create(spark, path, 2, 1)
+    store.commit()
+    x = np.arange(20.0).reshape(10, 2)
+    store.append_arrays(x, x[:, :1])
+    store.append_arrays(x + 1, x[:, :1])
+
+    def stopped(*_):
+        raise KeyboardInterrupt
+
+    for step in ("replace", "delete"):  # before the commit of a compaction, and after it
+        with monkeypatch.context() as m:
+            m.setattr(Files, step, stopped)
+            with pytest.raises(KeyboardInterrupt):
+                store.compact(1)
+        again = ObservationStore.open(spark, path, lock=False)
+        assert again.rows().count() == again.identity["num_obs"] == store.rows().count() == 20
+    assert again.identity["batches"] == 1
+    with monkeypatch.context() as m:
+        m.setattr(Files, "replace", stopped)
+        with pytest.raises(KeyboardInterrupt):
+            store.append_arrays(x, x[:, :1])
+        with pytest.raises(KeyboardInterrupt):
+            store.clear()
+    assert store.identity["num_obs"] == 20
+    assert store.append_arrays(x + 2, x[:, :1]) == 10 and store.rows().count() == 30
+    assert ObservationStore.open(spark, path, lock=False).rows().where("row_id >= 20").count() == 10
+    store.close()
+
+
+def test_moments_do_not_cancel(spark):
+    from nearfield.streaming import ingest
+
+    rows = spark.range(1000).selectExpr("'k' as k", "1e9 + id % 7 as v", "id")
+    both = ingest.merge_moments(ingest.moments(rows.where("id < 300"), "k", "v"), ingest.moments(rows.where("id >= 300"), "k", "v")).first()
+    assert both["m2"] == pytest.approx(np.var([k % 7 for k in range(1000)]) * 1000, rel=1e-6)
