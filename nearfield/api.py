@@ -1,12 +1,15 @@
 """The model: observations in a store, posteriors as arrays.
 
-Every call is one Spark plan over the store; only results of the size of the queries come back.
+Every call searches the store once, whole or through the index of cells; only results of the size of
+the queries come back.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from contextlib import contextmanager
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +22,8 @@ from nearfield.plans.calibrator import ENNNormal, unwarp_array, warp_array
 from nearfield.plans.config import ENNMetricLearning, validate_tied_dims
 from nearfield.plans.fitter import ENNParams, PosteriorFlags
 from nearfield.plans.metric import AutoMetric
+from nearfield.plans.settings import Settings
+from nearfield.sources.cells import CellIndex
 from nearfield.sources.store import ObservationStore, check_rows
 
 
@@ -55,6 +60,8 @@ class EpistemicNearestNeighbors:
     def _start(self) -> None:
         self._auto = AutoMetric(self.num_dim, self.num_outputs, self.tied_dims) if self.weighting else None
         self._scales: np.ndarray | None = None
+        self.settings = Settings.load(self.spark)
+        self._cells = CellIndex.open(self.spark, self.store.index_path)
 
     @classmethod
     def open(cls, work_dir, spark: SparkSession | None = None) -> EpistemicNearestNeighbors:
@@ -97,6 +104,8 @@ class EpistemicNearestNeighbors:
             self.store.identity["metric"] = {"weights": hexes(a.weights), "built": hexes(a.built), "next_refit": a.next_refit, "gain": a.heldout_gain, "counts": [a.num_refits, a.num_rescales, a.num_rebuilds]}
             if self.store.identity["committed"]:
                 self.store.commit()
+        if len(self) - self.num_indexed >= self.settings.index_min_rows:
+            self.ensure_index_sync()
 
     def __len__(self) -> int:
         return self.store.identity["num_obs"]
@@ -137,8 +146,25 @@ class EpistemicNearestNeighbors:
             v = v * slope**2
         return x, y, v
 
+    @property
+    def num_indexed(self) -> int:
+        """Rows that the index holds: always those with the least row ids."""
+        return 0 if self._cells is None else self._cells.n
+
     def ensure_index_sync(self) -> None:
-        """Rows are visible to searches as soon as they are appended."""
+        """Bring all rows into the index.  Rows are visible to searches before that too.  An index
+        whose scale the learnt weights have left behind is built again."""
+        if not len(self):
+            return
+        scale = self.x_scale_row
+        if self._cells is None:
+            self._cells = CellIndex.build(self.store.rows(), self.store.index_path, scale=scale, cell_rows=self.settings.index_cell_rows)
+            return
+        if self.num_indexed < len(self):
+            self._cells.insert(self.store.rows().where(F.col("row_id") >= self.num_indexed))
+        ratio = self._cells.scale / scale
+        if ratio.max() > self.settings.index_stretch * ratio.min():
+            self._cells.rebuild(scale)
 
     def schedule_background_flush(self) -> None:
         """Merge the store's batches when there are many."""
@@ -146,16 +172,27 @@ class EpistemicNearestNeighbors:
             self.store.compact(int(self.spark.conf.get("spark.sql.shuffle.partitions")))
 
     def persist_index_to_disk(self) -> None:
-        """The store is always on disk."""
+        """The index is on disk as soon as it is built; this takes in the rows that it lacks."""
+        self.ensure_index_sync()
 
     def index_memory_bytes(self) -> int:
-        return self.store.nbytes()
+        """Bytes of the index's files; of the rows where there is no index."""
+        return self.store.nbytes() if self._cells is None else self._cells.nbytes()
 
     # -- searches
 
     def observations(self) -> DataFrame:
         return self.store.rows() if self.store.identity["has_yvar"] else self.store.rows().drop("yvar")
 
+    @property
+    def _strategy(self) -> str | Callable[..., DataFrame]:
+        """One pass over all rows, or the index and one pass over the rows that it lacks."""
+        cells = self._cells
+        if cells is None or not cells.n:
+            return "auto"
+        pending = self.store.rows().where(F.col("row_id") >= cells.n) if cells.n < len(self) else None
+        return lambda q, k, scale, exclude: cells.knn(q, k, scale=scale, exclude_self=exclude, budget=self.settings.index_budget, pending=pending)
+
     def _queries(self, x) -> tuple[DataFrame, np.ndarray]:
         x = finite(x, "x")
         if x.ndim != 2 or x.shape[1] != self.num_dim:
@@ -172,7 +209,7 @@ class EpistemicNearestNeighbors:
             raise ValueError("exclude_nearest needs at least 2 rows")
         if not k or not len(self) or not len(x):
             return np.zeros((len(x), 0), np.int64)
-        rows = knn(q, self.store.rows(), k, scale=self.x_scale_row, exclude_self=exclude_nearest).collect()
+        rows = knn(q, self.store.rows(), k, scale=self.x_scale_row, exclude_self=exclude_nearest, strategy=self._strategy).collect()
         return self._index(rows, len(x))
 
     def neighbor_distances_and_indices(self, x, k: int, *, exclude_nearest: bool = False, pad_with_last: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +218,7 @@ class EpistemicNearestNeighbors:
         q, x = self._queries(x)
         d2, ids = np.full((len(x), k), np.inf), np.full((len(x), k), -1, np.int64)
         if k and len(self) and len(x):
-            for r in knn(q, self.store.rows(), k, scale=self.x_scale_row, exclude_self=exclude_nearest).collect():
+            for r in knn(q, self.store.rows(), k, scale=self.x_scale_row, exclude_self=exclude_nearest, strategy=self._strategy).collect():
                 d2[r["query_id"], r["rank"] - 1], ids[r["query_id"], r["rank"] - 1] = r["d2"], r["row_id"]
         if pad_with_last:
             for row in ids:
@@ -215,32 +252,42 @@ class EpistemicNearestNeighbors:
             raise ValueError("exclude_nearest=True needs at least 2 rows")
         return flags
 
-    def posterior(self, x, *, params: ENNParams, flags: PosteriorFlags | None = None, natural: bool = True) -> ENNNormal:
-        return self._posterior(x, self.observations(), len(self), params, flags, natural, None)
+    @contextmanager
+    def _near(self, q: DataFrame, observations: DataFrame, k: int, flags: PosteriorFlags, strategy, strict: bool):
+        """The neighbour rows of one search, kept while they are in use."""
+        held = post.neighbours(q, observations, k, flags.exclude_nearest, self.x_scale_row, strategy).persist()
+        try:
+            yield post.fewest_for_all(held) if strict else held
+        finally:
+            held.unpersist()
+
+    def _ids(self, near: DataFrame, n: int) -> np.ndarray:
+        return self._index(near.select("query_id", "rank", "row_id").collect(), n)
 
-    def _posterior(self, x, observations: DataFrame, n: int, params: ENNParams, flags, natural: bool, scales: DataFrame | None) -> ENNNormal:
+    def posterior(self, x, *, params: ENNParams, flags: PosteriorFlags | None = None, natural: bool = True, strict_batch_k: bool = False) -> ENNNormal:
+        """Means and standard errors; with ``strict_batch_k`` all queries use as many neighbours as
+        the one that has the fewest."""
+        return self._posterior(x, self.observations(), len(self), params, flags, natural, self._strategy, strict_batch_k)
+
+    def _posterior(self, x, observations: DataFrame, n: int, params: ENNParams, flags, natural: bool, strategy, strict: bool = False) -> ENNNormal:
         flags = self._check(flags)
         q, x = self._queries(x)
         if not n or not len(x):
             out = self._normal([], (len(x),), False)
             out.idx = np.zeros((len(x), 0), np.int64)
             return out
-        k, scale = params.k_num_neighbors, self.x_scale_row
-        near = post.neighbours(q, observations, k, flags.exclude_nearest, scale, "auto").persist()
-        try:
-            s = scales if scales is not None else post.y_scales(observations)
-            weighted = post._weighted(near, s, F.lit(params.epistemic_variance_scale), F.lit(params.aleatoric_variance_scale), ["query_id"])
-            rows = post._moments(weighted, ["query_id"], flags.observation_noise).collect()
-            index = self._index(near.select("query_id", "rank", "row_id").collect(), len(x))
-        finally:
-            near.unpersist()
-        out = self._normal(rows, (len(x),), natural)
-        out.idx = index
+        with self._near(q, observations, params.k_num_neighbors, flags, strategy, strict) as near:
+            return self._of(near, observations, len(x), params, flags, natural)
+
+    def _of(self, near: DataFrame, observations: DataFrame, n: int, params: ENNParams, flags: PosteriorFlags, natural: bool) -> ENNNormal:
+        weighted = post._weighted(near, post.y_scales(observations), F.lit(params.epistemic_variance_scale), F.lit(params.aleatoric_variance_scale), ["query_id"])
+        out = self._normal(post._moments(weighted, ["query_id"], flags.observation_noise).collect(), (n,), natural)
+        out.idx = self._ids(near, n)
         if params.calibrator is not None and natural:
             out = params.calibrator.apply(out, hypot=False)
         return out
 
-    def batch_posterior(self, x, *, paramss: Sequence[ENNParams], flags: PosteriorFlags | None = None, natural: bool = True) -> ENNNormal:
+    def batch_posterior(self, x, *, paramss: Sequence[ENNParams], flags: PosteriorFlags | None = None, natural: bool = True, strict_batch_k: bool = False) -> ENNNormal:
         if not paramss:
             raise ValueError("paramss must not be empty")
         flags = self._check(flags)
@@ -250,10 +297,12 @@ class EpistemicNearestNeighbors:
             return self._normal([], lead, False)
         rows = [(i, p.k_num_neighbors, p.epistemic_variance_scale, p.aleatoric_variance_scale) for i, p in enumerate(paramss)]
         params = self.spark.createDataFrame(rows, "param_id int, k int, epi double, ale double")
-        found = post.batch_posterior(q, self.observations(), params, exclude_nearest=flags.exclude_nearest, observation_noise=flags.observation_noise, scale=self.x_scale_row)
-        out = self._normal(found.collect(), lead, natural)
-        if len({p.k_num_neighbors for p in paramss}) == 1:
-            out.idx = self.neighbors(x, paramss[0].k_num_neighbors, exclude_nearest=flags.exclude_nearest)
+        ks = {p.k_num_neighbors for p in paramss}
+        with self._near(q, self.observations(), max(ks), flags, self._strategy, strict_batch_k) as near:
+            found = post.batch_posterior(q, self.observations(), params, observation_noise=flags.observation_noise, near=near)
+            out = self._normal(found.collect(), lead, natural)
+            if len(ks) == 1:
+                out.idx = self._ids(near, len(x))
         if natural:
             for i, p in enumerate(paramss):
                 if p.calibrator is not None:
@@ -273,19 +322,19 @@ class EpistemicNearestNeighbors:
 
     def conditional_posterior(self, x_whatif, y_whatif, x, *, params: ENNParams, flags: PosteriorFlags | None = None) -> ENNNormal:
         observations, n = self._with_whatif(x_whatif, y_whatif)
-        return self._posterior(x, observations, n, params, flags, True, None)
+        return self._posterior(x, observations, n, params, flags, True, "auto")
 
     # -- draws
 
     def posterior_function_draw(self, x, *, params: ENNParams, function_seeds, flags: PosteriorFlags | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(draws (queries, metrics, seeds), row ids)."""
-        return self._draws(x, self.observations(), len(self), params, function_seeds, flags)
+        return self._draws(x, self.observations(), len(self), params, function_seeds, flags, self._strategy)
 
     def conditional_posterior_function_draw(self, x_whatif, y_whatif, x, *, params: ENNParams, function_seeds, flags: PosteriorFlags | None = None) -> tuple[np.ndarray, np.ndarray]:
         observations, n = self._with_whatif(x_whatif, y_whatif)
-        return self._draws(x, observations, n, params, function_seeds, flags)
+        return self._draws(x, observations, n, params, function_seeds, flags, "auto")
 
-    def _draws(self, x, observations: DataFrame, n: int, params: ENNParams, function_seeds, flags) -> tuple[np.ndarray, np.ndarray]:
+    def _draws(self, x, observations: DataFrame, n: int, params: ENNParams, function_seeds, flags, strategy) -> tuple[np.ndarray, np.ndarray]:
         flags = self._check(flags)
         seeds = [int(s) for s in np.asarray(function_seeds).ravel()]
         if not seeds:
@@ -295,19 +344,15 @@ class EpistemicNearestNeighbors:
         if not n or not len(x):
             return out, np.zeros((len(x), 0), np.int64)
         distinct = sorted(set(seeds))
-        found = post.function_draws(q, observations, params.k_num_neighbors, params.epistemic_variance_scale, params.aleatoric_variance_scale, distinct, exclude_nearest=flags.exclude_nearest, observation_noise=flags.observation_noise, scale=self.x_scale_row)
         place = {s: [i for i, t in enumerate(seeds) if t == s] for s in distinct}
-        for r in found.collect():
-            out[r["query_id"], r["metric"], place[r["seed"]]] = r["value"]
-        bounds = self.y_bounds
-        if not identity_bounds(bounds):
-            out = np.moveaxis(unwarp_array(np.moveaxis(out, -1, 0), bounds)[0], 0, -1)
-        if params.calibrator is not None:
-            from dataclasses import replace
-
-            plain = self._posterior(x, observations, n, replace(params, calibrator=None), flags, True, None)
-            out = params.calibrator.map_draws(out, plain.mu, plain.y_bounds, plain.se)
-        rows = knn(q, observations, params.k_num_neighbors, scale=self.x_scale_row, exclude_self=flags.exclude_nearest).collect()
-        return out, self._index(rows, len(x))
-
-
+        with self._near(q, observations, params.k_num_neighbors, flags, strategy, False) as near:
+            found = post.function_draws(q, observations, params.k_num_neighbors, params.epistemic_variance_scale, params.aleatoric_variance_scale, distinct, observation_noise=flags.observation_noise, near=near)
+            for r in found.collect():
+                out[r["query_id"], r["metric"], place[r["seed"]]] = r["value"]
+            bounds = self.y_bounds
+            if not identity_bounds(bounds):
+                out = np.moveaxis(unwarp_array(np.moveaxis(out, -1, 0), bounds)[0], 0, -1)
+            if params.calibrator is not None:
+                plain = self._of(near, observations, len(x), replace(params, calibrator=None), flags, True)
+                out = params.calibrator.map_draws(out, plain.mu, plain.y_bounds, plain.se)
+            return out, self._ids(near, len(x))

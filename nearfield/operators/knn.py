@@ -12,7 +12,7 @@ Three strategies give equal results:
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -94,17 +94,20 @@ def knn(
     *,
     scale: Sequence[float] | None = None,
     exclude_self: bool = False,
-    strategy: str = "auto",
+    strategy: str | Callable[..., DataFrame] = "auto",
     blocks: int | None = None,
 ) -> DataFrame:
     """``queries(query_id, x)`` x ``observations(row_id, x)`` -> ``(query_id, rank, row_id, d2)``.
 
     Ranks run from 1 to at most k.  With ``scale`` both sides are divided by it first.
     ``exclude_self`` drops one row at distance zero for each query that has one, and none for the
-    others.  k = 0 or no observations give an empty result; k < 0 is an error.
+    others.  k = 0 or no observations give an empty result; k < 0 is an error.  A callable strategy
+    is a search of its own, over an index: ``(queries, k, scale, exclude_self)``.
     """
     if k < 0:
         raise ValueError(f"k must be >= 0, got {k}")
+    if callable(strategy):
+        return strategy(queries, k, scale, exclude_self)
     spark = queries.sparkSession
     q = queries.select("query_id", doubles(F.col("x")).alias("qx"))
     o = observations.select("row_id", doubles(F.col("x")).alias("x"))

@@ -10,7 +10,7 @@ Observations are ``(row_id, x, y array, yvar array or null)``; results are long:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -34,7 +34,13 @@ def y_scales(observations: DataFrame) -> DataFrame:
     return out.select("metric", scale.alias("y_scale"), "n", "y_sum", "y_sumsq")
 
 
-def neighbours(queries: DataFrame, observations: DataFrame, k: int, exclude_self: bool, scale: Sequence[float] | None, strategy: str) -> DataFrame:
+def fewest_for_all(near: DataFrame) -> DataFrame:
+    """Neighbour rows cut to as many a query as the query has that has the fewest."""
+    fewest = near.groupBy("query_id").agg(F.max("rank").alias("m")).agg(F.min("m").alias("fewest"))
+    return near.crossJoin(F.broadcast(fewest)).where("rank <= fewest").drop("fewest")  # one row
+
+
+def neighbours(queries: DataFrame, observations: DataFrame, k: int, exclude_self: bool, scale: Sequence[float] | None, strategy: str | Callable[..., DataFrame]) -> DataFrame:
     """Neighbour rows with y and yvar: (query_id, rank, row_id, d2, y, yvar)."""
     found = knn(queries, observations, k, scale=scale, exclude_self=exclude_self, strategy=strategy)
     if queries.count() * (k + 1) * ROW_BYTES <= BROADCAST_BYTES:
@@ -105,19 +111,20 @@ def posterior(
     neighbours as the one that has the fewest."""
     near = neighbours(queries, observations, k, exclude_nearest, scale, strategy)
     if strict_batch_k:
-        fewest = near.groupBy("query_id").agg(F.max("rank").alias("m")).agg(F.min("m").alias("fewest"))
-        near = near.crossJoin(F.broadcast(fewest)).where("rank <= fewest").drop("fewest")  # one row
+        near = fewest_for_all(near)
     weighted = _weighted(near, scales if scales is not None else y_scales(observations), F.lit(float(epi)), F.lit(float(ale)), ["query_id"])
     return _moments(weighted, ["query_id"], observation_noise).select(*RESULT)
 
 
-def batch_posterior(queries: DataFrame, observations: DataFrame, params: DataFrame, *, exclude_nearest: bool = False, observation_noise: bool = False, scale: Sequence[float] | None = None, scales: DataFrame | None = None, strategy: str = "auto") -> DataFrame:
+def batch_posterior(queries: DataFrame, observations: DataFrame, params: DataFrame, *, exclude_nearest: bool = False, observation_noise: bool = False, scale: Sequence[float] | None = None, scales: DataFrame | None = None, strategy: str = "auto", near: DataFrame | None = None) -> DataFrame:
     """The posterior for every row of ``params(param_id, k, epi, ale)``: one search at the largest
-    k, then each parameter row takes the ranks it wants."""
-    most = params.agg(F.max("k")).first()[0]
-    if most is None:
-        raise ValueError("at least one parameter row is needed")
-    near = neighbours(queries, observations, int(most), exclude_nearest, scale, strategy)
+    k, then each parameter row takes the ranks it wants.  ``near`` holds the result of that search
+    where it is there already."""
+    if near is None:
+        most = params.agg(F.max("k")).first()[0]
+        if most is None:
+            raise ValueError("at least one parameter row is needed")
+        near = neighbours(queries, observations, int(most), exclude_nearest, scale, strategy)
     # parameter rows are written by hand or by a fitter: tens of rows
     per = near.crossJoin(F.broadcast(params.select("param_id", "k", "epi", "ale"))).where(F.col("rank") <= F.col("k"))
     keys = ["param_id", "query_id"]
@@ -177,13 +184,15 @@ def confidence_interval(result: DataFrame, z: float, bounds: np.ndarray | None =
     return out
 
 
-def function_draws(queries: DataFrame, observations: DataFrame, k: int, epi: float, ale: float, seeds: Sequence[int], *, exclude_nearest: bool = False, observation_noise: bool = False, scale: Sequence[float] | None = None, strategy: str = "auto") -> DataFrame:
+def function_draws(queries: DataFrame, observations: DataFrame, k: int, epi: float, ale: float, seeds: Sequence[int], *, exclude_nearest: bool = False, observation_noise: bool = False, scale: Sequence[float] | None = None, strategy: str = "auto", near: DataFrame | None = None) -> DataFrame:
     """Joint draws ``(query_id, metric, seed, value)``: queries that share neighbours share their
     random numbers, which depend on (seed, row id, metric).  Observation noise goes by
-    ``queries.position`` if there is one, else by the query id."""
+    ``queries.position`` if there is one, else by the query id.  ``near`` holds the neighbour rows
+    where they are there already."""
     from nearfield.functions.random_hash import normal_column, query_normal_column
 
-    near = neighbours(queries, observations, k, exclude_nearest, scale, strategy)
+    if near is None:
+        near = neighbours(queries, observations, k, exclude_nearest, scale, strategy)
     weighted = _weighted(near, y_scales(observations), F.lit(float(epi)), F.lit(float(ale)), ["query_id"])
     moments = _moments(weighted, ["query_id"], observation_noise)
     per_seed = weighted.withColumn("seed", F.explode(F.array(*[F.lit(int(s)).cast("long") for s in seeds])))

@@ -128,7 +128,8 @@ class ObservationStore:
         if self.files.exists(f"{self.path}/identity.json") and json.loads(self.files.read(f"{self.path}/identity.json"))["committed"]:
             raise ValueError(f"{self.path} holds a store; open it")
         self.lock()
-        self.files.delete(f"{self.path}/rows")  # of a store that never committed
+        for left in ("rows", "index"):  # of a store that never committed
+            self.files.delete(f"{self.path}/{left}")
         bounds = check_y_bounds(y_bounds, num_metrics)
         self.identity = {"num_dim": num_dim, "num_metrics": num_metrics, "has_yvar": has_yvar, "weighting": weighting, "tied_dims": [list(map(int, g)) for g in tied_dims], "y_bounds": [[float(v).hex() for v in b] for b in bounds], "batches": 0, "num_obs": 0, "committed": False}
         return self
@@ -163,8 +164,14 @@ class ObservationStore:
         """Where the rows are: a new folder for every version of them."""
         return f"{self.path}/{self.identity.get('rows', 'rows')}"
 
+    @property
+    def index_path(self) -> str:
+        """Where an index over the rows lies; it is derived, so it may be deleted at any time."""
+        return f"{self.path}/index"
+
     def clear(self) -> None:
         old = self.folder
+        self.files.delete(self.index_path)  # first: no index of old rows may meet new ones
         self._change(batches=0, num_obs=0, rows=f"rows-{uuid.uuid4().hex}")
         self.files.delete(old)
 
