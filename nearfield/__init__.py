@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_CONFIG = "OptimizerConfig turbo_zero_config turbo_enn_config lhd_only_config TurboTRConfig MorboTRConfig NoTRConfig CandidateRV InitStrategy AcqType ENNSurrogateConfig ENNFitConfig NoSurrogateConfig MultiObjectiveConfig CandidateGenConfig TRLengthConfig Rescalarize RAASPDriver ENNMetricLearning"
+_CONFIG = "OptimizerConfig turbo_zero_config turbo_enn_config lhd_only_config TurboTRConfig MorboTRConfig NoTRConfig CandidateRV InitStrategy AcqType ENNSurrogateConfig ENNFitConfig NoSurrogateConfig MultiObjectiveConfig CandidateGenConfig TRLengthConfig Rescalarize RAASPDriver ENNMetricLearning ObservationHistoryConfig"
 _WHERE = {
     "EpistemicNearestNeighbors": "api",
     "ENNStatefulFitter": "plans.fitter",
@@ -19,6 +19,8 @@ _WHERE = {
     "CatEncoder": "operators.encode",
     "CatEncoding": "operators.encode",
     "DimKind": "operators.encode",
+    "MetricPolicy": "plans.metric",
+    "with_overrides": "plans.overrides",
     "ENNParams": "plans.fitter",
     "PosteriorFlags": "plans.fitter",
     "ENNNormal": "plans.calibrator",

@@ -58,7 +58,7 @@ class EpistemicNearestNeighbors:
             raise
 
     def _start(self) -> None:
-        self._auto = AutoMetric(self.num_dim, self.num_outputs, self.tied_dims) if self.weighting else None
+        self._auto = AutoMetric(self.num_dim, self.num_outputs, self.tied_dims, **self.store.identity.get("policy", {})) if self.weighting else None
         self._scales: np.ndarray | None = None
         self.settings = Settings.load(self.spark)
         self._cells = CellIndex.open(self.spark, self.store.index_path)
@@ -70,16 +70,45 @@ class EpistemicNearestNeighbors:
         self.store = ObservationStore.open(self.spark, os.fspath(work_dir))
         self._start()
         if self._auto is not None and len(self):
+            self._refill()
             state = self.store.identity.get("metric")
-            # rows go through the reservoir once more, in order, a batch at a time
-            for row in self.store.rows().select("row_id", "x", "y_natural").orderBy("row_id").toLocalIterator():
-                self._auto.rows.add([row["x"]], [row["y_natural"]])
             if state:
                 self._auto.weights, self._auto.built = (np.array([float.fromhex(v) for v in state[k]]) for k in ("weights", "built"))
                 self._auto.next_refit, self._auto.heldout_gain = state["next_refit"], state["gain"]
                 self._auto.num_refits, self._auto.num_rescales, self._auto.num_rebuilds = state["counts"]
         return self
 
+    def _refill(self) -> None:
+        """All rows through the reservoir once more, in order."""
+        for row in self.store.rows().select("row_id", "x", "y_natural").orderBy("row_id").toLocalIterator():
+            self._auto.rows.add([row["x"]], [row["y_natural"]])
+
+    def configure_metric(self, *, tied_dims=None, **policy: object) -> None:
+        """Take another policy (``rebuild_drift``, ``refit_growth``, ``reservoir_capacity``,
+        ``seed``, ``tied_dims``) for the weights; learnt weights stay until the next refit."""
+        if self._auto is None:
+            raise ValueError("a model without weighting has no policy")
+        unknown = sorted(set(policy) - {"rebuild_drift", "refit_growth", "reservoir_capacity", "seed"})
+        if unknown:
+            raise ValueError(f"a policy has no {', '.join(unknown)}")
+        policy = self.store.identity.get("policy", {}) | policy
+        tied = self.tied_dims if tied_dims is None else validate_tied_dims(tied_dims, self.num_dim)
+        old, self._auto = self._auto, AutoMetric(self.num_dim, self.num_outputs, tied, **policy)
+        for name in ("weights", "built", "next_refit", "heldout_gain", "num_refits", "num_rescales", "num_rebuilds"):
+            setattr(self._auto, name, getattr(old, name))
+        if len(self):
+            self._refill()
+        self.store.identity |= {"policy": policy, "tied_dims": [list(g) for g in tied]}
+        self.keep_metric()
+
+    def keep_metric(self) -> None:
+        """Commit the learnt weights with the rows."""
+        a = self._auto
+        hexes = lambda w: [float(v).hex() for v in w]
+        self.store.identity["metric"] = {"weights": hexes(a.weights), "built": hexes(a.built), "next_refit": a.next_refit, "gain": a.heldout_gain, "counts": [a.num_refits, a.num_rescales, a.num_rebuilds]}
+        if self.store.identity["committed"]:
+            self.store.commit()
+
     def close(self) -> None:
         self.store.close()
 
@@ -99,12 +128,8 @@ class EpistemicNearestNeighbors:
         self._scales = None
         if self._auto is not None:
             self._auto.observe(x, y)
-            a = self._auto
-            hexes = lambda w: [float(v).hex() for v in w]
-            self.store.identity["metric"] = {"weights": hexes(a.weights), "built": hexes(a.built), "next_refit": a.next_refit, "gain": a.heldout_gain, "counts": [a.num_refits, a.num_rescales, a.num_rebuilds]}
-            if self.store.identity["committed"]:
-                self.store.commit()
-        if len(self) - self.num_indexed >= self.settings.index_min_rows:
+            self.keep_metric()
+        if len(self) - self.num_indexed >= self.settings.index_min_rows and self.num_dim <= self.settings.index_max_dim:
             self.ensure_index_sync()
 
     def __len__(self) -> int:

@@ -103,3 +103,15 @@ def query_normal_column(seed: Column, position: Column, metric: Column) -> Colum
 def choose_indices(n: int, p: int, seed: int) -> np.ndarray:
     """``p`` of ``n`` positions without replacement, in the order drawn."""
     return np.random.Generator(np.random.PCG64(seed)).permutation(n)[: min(n, p)]
+
+
+class NumpyNormal:
+    """Standard normals of a PCG64 generator whose 128-bit state and increment are given in halves."""
+
+    def __init__(self, state_hi: int, state_lo: int, inc_hi: int, inc_lo: int) -> None:
+        bits = np.random.PCG64(0)
+        bits.state = {"bit_generator": "PCG64", "state": {"state": int(state_hi) << 64 | int(state_lo), "inc": int(inc_hi) << 64 | int(inc_lo)}, "has_uint32": 0, "uinteger": 0}
+        self._rng = np.random.Generator(bits)
+
+    def standard_normals(self, n: int) -> np.ndarray:
+        return self._rng.standard_normal(n)

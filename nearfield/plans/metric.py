@@ -90,3 +90,17 @@ class AutoMetric:
         return self.refit() if self.num_seen >= self.next_refit else False
 
 
+class MetricPolicy:
+    """The policy of a model that learns its weights: configures it, and reads and sets its state."""
+
+    def __init__(self, model, **policy: object) -> None:
+        self._model = model
+        model.configure_metric(**{k: v for k, v in policy.items() if v is not None})
+
+    def __getattr__(self, name: str) -> object:
+        return getattr(self._model.metric, name)
+
+    def set_weights(self, weights) -> bool:
+        rebuilt = self._model.metric.set_weights(weights)
+        self._model.keep_metric()
+        return rebuilt

@@ -29,6 +29,9 @@ def config_path() -> str:
 class Settings:
     #: Rows without an index from which on one is built, or brought up to date, by an append.
     index_min_rows: int = 65_536
+    #: Inputs up to which appends keep an index by themselves: with many inputs a cell's radius is as
+    #: large as the distances between cells, and one pass over all rows is cheaper.
+    index_max_dim: int = 12
     #: Rows that a cell of the index should hold.
     index_cell_rows: int = 4_096
     #: Ratio by which the scale of a search may differ from the index's, input against input.

@@ -255,3 +255,17 @@ class Reservoir:
         if capacity < len(self._x):
             raise ValueError("capacity must hold the stored rows")
         self.capacity = capacity
+
+
+def gaussian_thompson(mu: np.ndarray, sigma: np.ndarray, num_arms: int, rng: np.random.Generator) -> np.ndarray:
+    """``num_arms`` candidates, each the best of one independent draw around every mean among those
+    not taken yet."""
+    mu, sigma = np.asarray(mu, float), np.asarray(sigma, float)
+    if not len(mu):
+        raise ValueError("there are no candidates")
+    taken: list[int] = []
+    for _ in range(min(num_arms, len(mu))):
+        value = mu + sigma * rng.standard_normal(len(mu))
+        value[taken] = -np.inf
+        taken.append(int(np.argmax(value)))
+    return np.array(taken, np.int64)

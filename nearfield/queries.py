@@ -16,6 +16,8 @@ from nearfield.functions import expr
 from nearfield.functions.random_hash import normal_column, query_normal_column
 from nearfield.operators import encode, fit, fronts, knn, posterior, sobol
 from nearfield.plans.fitter import candidate_params
+from nearfield.sources.cells import CellIndex
+from nearfield.sources.scratch import leased_path
 from nearfield.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,10 +98,29 @@ def knn_scaled(spark, sf_dir):
     return rounded(knn.knn(*vectors(spark, sf_dir), 5, scale=[1.0 + j % 3 for j in range(64)]), "d2")
 
 
-@query(f"with {NEAR} select 1.0::double as recall")
+#: Rows a cell holds in the registered queries, whose tables are small.
+QUERY_CELL_ROWS = 64
+
+
+def cells_of(o: DataFrame) -> CellIndex:
+    return CellIndex.build(o, leased_path(o.sparkSession, "cells"), cell_rows=QUERY_CELL_ROWS)
+
+
+@query(ORACLES["knn_exclude_self"])
+def knn_cells(spark, sf_dir):
+    """The exact search through an index of cells."""
+    q, o = vectors(spark, sf_dir)
+    return rounded(cells_of(o).knn(q, 10, exclude_self=True), "d2")
+
+
+@query()
 def knn_recall(spark, sf_dir):
+    """The share of the true neighbours that a search finds in the nearest quarter and half of the
+    cells.  No SQL: the cells are not a table."""
     q, o = vectors(spark, sf_dir)
-    return knn.recall(knn.knn(q, o, 10, strategy="grid"), knn.knn(q, o, 10))
+    cells, exact = cells_of(o), knn.knn(q, o, 10)
+    parts = [knn.recall(cells.knn(q, 10, budget=-(-len(cells.leaves) // share)), exact).select(F.lit(1 / share).alias("share"), F.round("recall", 6).alias("recall")) for share in (4, 2)]
+    return parts[0].unionByName(parts[1])
 
 
 # ------------------------------------------------------------------ posteriors

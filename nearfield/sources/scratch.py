@@ -37,6 +37,13 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch_root(spark)}/nearfield/{tag}-{uuid.uuid4().hex}"
 
 
+def leased_path(spark: SparkSession, tag: str) -> str:
+    """A new path that is deleted when the driver ends."""
+    path = new_path(spark, tag)
+    _LEFT[path] = spark
+    return path
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the scratch folder and read it back: lineage ends at shared files."""
     path = new_path(df.sparkSession, tag)

@@ -89,6 +89,23 @@ def test_model_searches_through_its_index(spark, points, tmp_path):
     m.close()
 
 
+def test_appends_keep_an_index(spark, points, tmp_path):
+    for name, value in (("min_rows", 300), ("cell_rows", 64)):
+        spark.conf.set(f"spark.nearfield.index.{name}", value)
+    try:
+        with nf.EpistemicNearestNeighbors(points[:200], points[:200, :1], work_dir=tmp_path / "m", spark=spark) as m:
+            assert m.num_indexed == 0
+            m.add(points[200:500], points[200:500, :1])
+            m.add(points[500:510], points[500:510, :1])
+            assert m.num_indexed == 500 and len(m) == 510
+        spark.conf.set("spark.nearfield.index.max_dim", 2)
+        with nf.EpistemicNearestNeighbors(points[:400], points[:400, :1], work_dir=tmp_path / "wide", spark=spark) as m:
+            assert m.num_indexed == 0
+    finally:
+        for name in ("min_rows", "cell_rows", "max_dim"):
+            spark.conf.unset(f"spark.nearfield.index.{name}")
+
+
 def test_strict_batch_k(spark, tmp_path):
     x = np.arange(6.0)[:, None]
     with nf.EpistemicNearestNeighbors(x, x, work_dir=tmp_path / "m", spark=spark) as m:
@@ -114,3 +131,50 @@ def test_settings(spark, tmp_path, monkeypatch):
     spark.conf.unset("spark.nearfield.index.cell_rows")
     (tmp_path / "a" / "config.toml").write_text("not toml [")
     assert settings.Settings.load(spark) == settings.Settings()
+
+
+def test_overrides():
+    base = nf.turbo_enn_config(enn=nf.ENNSurrogateConfig(k=5, fit=nf.ENNFitConfig(num_fit_samples=5)))
+    new = nf.with_overrides(base, {"acquisition": "ucb", "min_candidates": 3, "length_init": 0.5, "noise_aware": True, "num_fit_candidates": 7, "raasp_fast": True, "candidate_rv": "sobol", "alpha": None})
+    assert (new.candidates.min_candidates, new.trust_region.length_init, new.trust_region.noise_aware) == (3, 0.5, True)
+    assert new.surrogate.num_fit_candidates == 7 and new.candidate_rv is nf.CandidateRV.SOBOL and new.raasp_driver is nf.RAASPDriver.FAST
+    several = nf.with_overrides(base, {"num_metrics": 3, "alpha": 0.1, "rescalarize": "on_propose"}).trust_region
+    assert (several.num_metrics, several.alpha, several.rescalarize) == (3, 0.1, nf.Rescalarize.ON_PROPOSE)
+    assert nf.with_overrides(base, {"freeze_params": True}).surrogate.num_fit_samples is None
+    assert isinstance(nf.with_overrides(base, {"trust_region": "none"}).trust_region, nf.NoTRConfig)
+    for wrong in ({"nothing": 1}, {"trust_region": "none", "length_min": 0.1}, {"trust_region": "turbo", "alpha": 0.1}, {"rescalarize": "on_restart"}, {"acquisition": "best"}):
+        with pytest.raises(ValueError):
+            nf.with_overrides(base, wrong)
+    with pytest.raises(ValueError):
+        nf.with_overrides(nf.turbo_zero_config(), {"weighting": True})
+
+
+def test_generator_of_given_state_and_thompson():
+    from nearfield.functions.random_hash import NumpyNormal
+    from nearfield.plans.statistics import gaussian_thompson
+
+    state = np.random.PCG64(5).state["state"]
+    halves = [v for n in ("state", "inc") for v in (state[n] >> 64, state[n] & (2**64 - 1))]
+    one = NumpyNormal(*halves)
+    np.testing.assert_array_equal(np.concatenate([one.standard_normals(3), one.standard_normals(2)]), np.random.default_rng(5).standard_normal(5))
+    rng = np.random.default_rng(0)
+    assert gaussian_thompson([0.0, 9.0, 5.0], [0, 0, 0], 2, rng).tolist() == [1, 2]
+    assert sorted(gaussian_thompson(np.zeros(4), np.ones(4), 9, rng)) == [0, 1, 2, 3] and not len(gaussian_thompson([1.0], [1.0], 0, rng))
+    with pytest.raises(ValueError):
+        gaussian_thompson([], [], 1, rng)
+
+
+def test_policy_over_a_model(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    x = rng.random((40, 2))
+    with nf.EpistemicNearestNeighbors(x, x[:, :1], work_dir=tmp_path / "m", spark=spark, weighting=True) as m:
+        policy = nf.MetricPolicy(m, refit_growth=3.0, reservoir_capacity=30, seed=None)
+        assert policy.refit_growth == 3.0 and policy.num_seen == 40
+        policy.set_weights([4.0, 1.0])
+        np.testing.assert_allclose(m.x_scale_row, [0.5, 1.0])
+        with pytest.raises(ValueError):
+            nf.MetricPolicy(m, refit_growth=0.5)
+        with pytest.raises(ValueError):
+            nf.MetricPolicy(m, colour=1)
+    with nf.EpistemicNearestNeighbors.open(tmp_path / "m", spark) as m:
+        assert m.metric.refit_growth == 3.0 and m.metric.weights.tolist() == [4.0, 1.0]

@@ -45,7 +45,7 @@ def brute(model_x, model_y, q, k, epi, ale, yvar=None, noise=False):
 
 
 def test_public_names():
-    assert len(nf.__all__) == 32 and all(getattr(nf, n) is not None for n in nf.__all__)
+    assert len(nf.__all__) == 35 and all(getattr(nf, n) is not None for n in nf.__all__)
     with pytest.raises(AttributeError):
         nf.no_such_name
 
