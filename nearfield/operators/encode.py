@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from enum import Enum, auto
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nearfield.functions.random_hash import GOLDEN, MULT1, MULT2
+from nearfield.operators.knn import matrix
 
 U = np.uint64
 
@@ -122,11 +125,21 @@ def hash_rows(ids: np.ndarray, width: int, seed: int) -> np.ndarray:
 def snap_table(encoded: DataFrame, codes: DataFrame) -> DataFrame:
     """``encoded(row_id, code)`` and ``codes(id, at, code)``, one row per id of the domain ->
     ``(row_id, id)``: the id with the greatest dot product, the first of equals."""
-    dot = F.aggregate(F.zip_with("code", "d_code", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    domain = codes.select("id", "at", F.col("code").alias("d_code"))
-    pairs = encoded.crossJoin(F.broadcast(domain)).withColumn("dot", dot)  # a domain is declared by hand
-    best = pairs.groupBy("row_id").agg(F.max_by("id", F.struct("dot", -F.col("at"))).alias("id"))
-    return best
+    domain = codes.select("id", "at", "code").orderBy("at").collect()  # declared by hand
+    schema = T.StructType([encoded.schema["row_id"], codes.schema["id"]])
+    if not domain:
+        return encoded.sparkSession.createDataFrame([], schema)
+    ids, table = pa.array([r["id"] for r in domain]), np.array([r["code"] for r in domain], float)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = matrix(b.column(1), table.shape[1])
+            dot = np.zeros((len(x), len(table)))
+            for j in range(table.shape[1]):
+                dot += x[:, j, None] * table[None, :, j]
+            yield pa.RecordBatch.from_arrays([b.column(0), ids.take(pa.array(dot.argmax(axis=1)))], names=schema.names)
+
+    return encoded.select("row_id", F.col("code").cast("array<double>")).mapInArrow(pick, schema)
 
 
 # ------------------------------------------------------------------ arrays
