@@ -24,12 +24,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearfield.functions.expr import doubles
-from nearfield.operators.knn import BROADCAST_BYTES, CELLS, GRID_BYTES, TopK, _ranked, distances, knn, matrix
+from nearfield.operators.knn import BROADCAST_BYTES, CELLS, TopK, _ranked, distances, knn, matrix
 from nearfield.sources.scratch import written
 from nearfield.sources.store import Files
 
@@ -58,6 +59,23 @@ class Leaf:
     chunks: int = 1
 
 
+@dataclass
+class Leaves:
+    """All leaves as arrays, in the scale of a search."""
+
+    ids: np.ndarray
+    pivots: np.ndarray
+    radius: np.ndarray
+    n: np.ndarray
+
+    def reaches(self, d: np.ndarray, leaf: np.ndarray | int, far: np.ndarray, last: np.ndarray, within: np.ndarray) -> np.ndarray:
+        """Whether leaves at distance d, behind the last one that a query has read, may hold rows
+        within the squared distance."""
+        read = (d < far) | (d == far) & (leaf <= last)
+        reach = np.sqrt(within)
+        return ~read & (d - self.radius[leaf] <= reach + 1e-9 * (reach + d + self.radius[leaf]))
+
+
 def _near(q: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Distances of every query to every pivot, a block of queries at a time."""
     step = max(1, CELLS // max(1, len(pivots)))
@@ -290,25 +308,70 @@ class CellIndex:
 
     # -- search
 
-    def _visit(self, routed: DataFrame, blocks: int, pool: int, scale: np.ndarray, schema: T.StructType) -> DataFrame:
-        """The ``pool`` best of every (query, chunk of a leaf) among ``routed(query_id, qx, cell,
-        chunk)``."""
-        wanted = {r["cell"] for r in routed.select("cell").distinct().collect()}  # leaves at the most
-        self.cells_read += len(wanted)
-        self.rows_read += sum(self.leaves[c].n for c in wanted)
-        left = routed.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-        right = self.rows(wanted).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-        def pair(qs: pd.DataFrame, xs: pd.DataFrame) -> pd.DataFrame:
-            if not len(qs) or not len(xs):
-                return pd.DataFrame({"query_id": [], "row_id": [], "d2": []})
-            top = TopK(np.stack(qs["qx"].to_list()).astype(float) / scale, pool)
-            top.add(np.stack(xs["x"].to_list()).astype(float) / scale, xs["row_id"].to_numpy(np.int64))
+    def _wanted(self, block: Broadcast, held: Broadcast, reach: Broadcast | None, pool: int, budget: int) -> tuple[set[int], np.ndarray]:
+        """The leaves that some query reads, and each query's last one in the order of (distance,
+        leaf); with ``reach`` the leaves beyond that one which may hold something within it."""
+
+        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            leaves, used = held.value, np.zeros(len(held.value.ids), bool)
+            step = max(1, CELLS // len(leaves.ids))
+            for whole in batches:
+                for a in range(0, whole.num_rows, step):
+                    at = whole.column(0).slice(a, step).to_numpy(zero_copy_only=False)
+                    d = _near(block.value[at], leaves.pivots)
+                    if reach is not None:
+                        far, last, within = (part[at, None] for part in reach.value)
+                        used |= leaves.reaches(d, np.arange(len(leaves.ids)), far, last, within).any(axis=0)
+                        continue
+                    order = d.argsort(axis=1, kind="stable")
+                    size = leaves.n[order]
+                    count = np.maximum((np.cumsum(size, axis=1) - size < pool).sum(axis=1), min(budget, len(leaves.ids)))
+                    last = order[np.arange(len(at)), count - 1]
+                    far = d[np.arange(len(at)), last]
+                    used |= ((d < far[:, None]) | (d == far[:, None]) & (np.arange(len(leaves.ids)) <= last[:, None])).any(axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(far), pa.array(last)], names=["q", "far", "last"])
+            some = np.flatnonzero(used)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), -1)), pa.array(np.zeros(len(some))), pa.array(some)], names=["q", "far", "last"])
+
+        n = len(block.value)
+        tasks = min(-(-n // 64), 4 * self.spark.sparkContext.defaultParallelism)
+        out = self.spark.range(0, n, 1, max(1, tasks)).mapInArrow(route, "q long, far double, last long").toArrow()  # a row a query of a bounded block
+        at, far, last = (out.column(c).to_numpy() for c in ("q", "far", "last"))
+        cut = np.zeros((2, n))
+        cut[0, at[at >= 0]], cut[1, at[at >= 0]] = far[at >= 0], last[at >= 0]
+        cells = {int(c) for c in held.value.ids[np.unique(last[at < 0])]}
+        self.cells_read += len(cells)
+        self.rows_read += sum(self.leaves[c].n for c in cells)
+        return cells, cut
+
+    def _visit(self, cells: set[int], block: Broadcast, held: Broadcast, cut: Broadcast, pool: int, s: np.ndarray, further: bool) -> DataFrame:
+        """``(q, row_id, d2)``: the ``pool`` best of every task for each query, among the rows of
+        the leaves that it reads.  The queries travel to the rows."""
+        width = len(self.scale)
+
+        def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            leaves = held.value
+            far, last, *within = cut.value
+            top, place, cell, readers = TopK(block.value, pool, *within), {int(c): j for j, c in enumerate(leaves.ids)}, None, None
+            for b in batches:
+                of = b.column(0).to_numpy(zero_copy_only=False)
+                x, ids = matrix(b.column(3), width) / s, b.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+                order = np.argsort(of, kind="stable")
+                starts = np.flatnonzero(np.diff(of[order], prepend=-1))
+                for here in np.split(order, starts[1:]):
+                    if not len(here):
+                        continue
+                    if of[here[0]] != cell:
+                        cell = of[here[0]]
+                        j = place[int(cell)]
+                        d = _near(block.value, leaves.pivots[j : j + 1])[:, 0]
+                        readers = np.flatnonzero(leaves.reaches(d, j, far, last, *within) if further else (d < far) | (d == far) & (j <= last))
+                    if len(readers):
+                        top.add(x[here], ids[here], readers)
             at, ids, d2 = top.rows()
-            return pd.DataFrame({"query_id": qs["query_id"].to_numpy()[at], "row_id": ids, "d2": d2})
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(ids), pa.array(d2)], names=["q", "row_id", "d2"])
 
-        keys = ["cell", "chunk", "qb"]
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(pair, schema)
+        return self.rows(cells).select("cell", "chunk", "row_id", "x").mapInArrow(visit, "q long, row_id long, d2 double")
 
     def knn(self, queries: DataFrame, k: int, *, scale: Sequence[float] | None = None, exclude_self: bool = False, budget: int | None = None, pending: DataFrame | None = None) -> DataFrame:
         """As :func:`nearfield.operators.knn.knn` over the indexed rows and those of ``pending``
@@ -324,47 +387,32 @@ class CellIndex:
         q = queries.select("query_id", doubles(F.col("x")).alias("qx"))
         if k and self.leaves:
             s = np.asarray(scale, float) if scale is not None else np.ones(len(self.scale))
-            found = self._search(q, pool, s, schema, budget)
+            blocks = max(1, -(-q.count() * (len(s) + 2 * pool + 8) * 8 // BROADCAST_BYTES))
+            for b in range(blocks):  # each is a pass over the rows that its queries want
+                mine = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else q
+                found = found.unionByName(self._search(mine, pool, s, budget))
         if k and pending is not None:
             found = found.unionByName(knn(queries, pending, pool, scale=scale).select("query_id", "row_id", "d2"))
         return _ranked(found, k, exclude_self, "query_id").select("query_id", "rank", "row_id", "d2")
 
-    def _search(self, q: DataFrame, pool: int, s: np.ndarray, schema: T.StructType, budget: int | None) -> DataFrame:
-        width = len(self.scale)
+    def _search(self, q: DataFrame, pool: int, s: np.ndarray, budget: int | None) -> DataFrame:
+        table = q.toArrow()
+        points, pos = np.unique(matrix(table.column("qx"), len(s)) / s, axis=0, return_inverse=True)  # equal queries are searched once
+        names = pd.DataFrame({"pos": pos.ravel(), "query_id": table.column("query_id").combine_chunks().to_pandas()})
+        names = self.spark.createDataFrame(names, T.StructType([T.StructField("pos", T.LongType()), q.schema["query_id"]]))
         ids = np.array(sorted(self.leaves))
         at = [self.leaves[int(c)] for c in ids]
-        held = self.spark.sparkContext.broadcast((ids, np.array([a.pivot for a in at]) * self.scale / s, np.array([a.radius for a in at]) * float((self.scale / s).max(initial=0.0)), np.array([a.n for a in at]), np.array([a.chunks for a in at])))
-
-        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """The leaves of every query: the nearest ones by default; given the distance found
-            there, all others that may hold something within it."""
-            ids, pivots, radius, n, chunks = held.value
-            step = max(1, CELLS // len(ids))
-            for whole in batches:
-                for a in range(0, whole.num_rows, step):
-                    b = whole.slice(a, step)
-                    d = _near(matrix(b.column(1), width) / s, pivots)
-                    order = d.argsort(axis=1, kind="stable")
-                    before = np.cumsum(n[order], axis=1) - n[order]
-                    first = np.zeros(d.shape, bool)
-                    np.put_along_axis(first, order, (before < pool) | (np.arange(len(ids)) < (budget or 0)), axis=1)
-                    if b.num_columns == 3:
-                        reach = np.sqrt(b.column(2).to_numpy(zero_copy_only=False))[:, None]
-                        first = ~first & (d - radius <= reach + 1e-9 * (reach + d + radius))
-                    row, cell = np.nonzero(first)
-                    each = np.repeat(np.arange(len(row)), chunks[cell])
-                    part = np.arange(len(each)) - np.repeat(np.cumsum(chunks[cell]) - chunks[cell], chunks[cell])
-                    take = pa.array(row[each])
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(ids[cell][each]), pa.array(part.astype(np.int32))], names=["query_id", "qx", "cell", "chunk"])
-
-        routed = T.StructType([schema[0], T.StructField("qx", T.ArrayType(T.DoubleType())), T.StructField("cell", T.LongType()), T.StructField("chunk", T.IntegerType())])
-        size = q.agg(F.sum(8 * (F.size("qx") + 1))).first()[0] or 0
-        blocks = max(1, -(-size // GRID_BYTES))
-        near = self._visit(q.mapInArrow(route, routed), blocks, pool, s, schema)
-        if budget is not None:
-            return near
-        near = written(near, "near")
-        kth = _ranked(near, pool, False, "query_id").groupBy("query_id").agg(F.max("d2").alias("kth"), F.max("rank").alias("found"))
-        kth = kth.select(F.col("query_id").alias("k_query"), F.when(F.col("found") >= pool, F.col("kth")).otherwise(F.lit(float("inf"))).alias("kth"))
-        bounded = q.join(kth, F.col("query_id") == F.col("k_query")).select("query_id", "qx", "kth")
-        return near.unionByName(self._visit(bounded.mapInArrow(route, routed), blocks, pool, s, schema))
+        share = self.spark.sparkContext.broadcast
+        held = share(Leaves(ids, np.array([a.pivot for a in at]) * self.scale / s, np.array([a.radius for a in at]) * float((self.scale / s).max(initial=0.0)), np.array([a.n for a in at])))
+        block = share(points)
+        cells, cut = self._wanted(block, held, None, pool, budget or 0)
+        near = self._visit(cells, block, held, share((*cut,)), pool, s, False)
+        if budget is None:
+            near = written(near, "near")
+            best = _ranked(near, pool, False, "q").groupBy("q").agg(F.max("d2").alias("kth"), F.max("rank").alias("found")).where(F.col("found") >= pool).toArrow()
+            within = np.full(len(points), np.inf)
+            within[best.column("q").to_numpy()] = best.column("kth").to_numpy()
+            cut = share((*cut, within))
+            cells, _ = self._wanted(block, held, cut, pool, 0)
+            near = near.unionByName(self._visit(cells, block, held, cut, pool, s, True))
+        return near.join(F.broadcast(names), F.col("q") == F.col("pos")).select("query_id", "row_id", "d2")
