@@ -5,6 +5,7 @@ import tracemalloc
 import numpy as np
 import pytest
 
+from nearfield.operators import knn as search
 from nearfield.operators.knn import TopK, distances
 
 
@@ -64,3 +65,24 @@ def test_memory_of_many_queries():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 80e6, peak
+
+
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_sql_without_all_pairs(spark, monkeypatch, exclude_self):
+    """The same rows as from all pairs, with ties, copies, NaN, nulls and other widths among them."""
+    rng = np.random.default_rng(3)
+    x = [[float(v) for v in row] for row in np.round(2 * rng.normal(size=(600, 3)))]
+    x[20], x[41], x[60], x[75], x[80] = [float("nan"), 0.0, 1.0], None, None, [1.0, None, 0.0], [1.0, 2.0]
+    o = spark.createDataFrame(list(enumerate(x)), "row_id long, x array<double>").repartition(3)
+    q = o.where("row_id % 20 = 0").withColumnRenamed("row_id", "query_id")
+    found = lambda: search.knn(q, o, 4, scale=[1.0, 2.0, 3.0], exclude_self=exclude_self, strategy="sql")
+    want = sorted(map(str, found().collect()))
+    monkeypatch.setattr(search, "SQL_PAIRS", 0)
+    assert sorted(map(str, found().collect())) == want and len(want) == 4 * 30
+
+
+def test_sql_of_many_rows_joins_no_pairs(spark):
+    o = spark.range(200_000).selectExpr("id as row_id", "array(double(id % 977), double(id % 31)) as x")
+    q = o.where("row_id % 20 = 0").withColumnRenamed("row_id", "query_id")
+    plan = search.knn(q, o, 5, strategy="sql")._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "MapInArrow" in plan
