@@ -69,3 +69,12 @@ def test_searches_do_not_shuffle_observations(spark, sf):
     plan = QUERIES["knn_topk"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert plan.count("Exchange hashpartitioning") == 1 and "ReadSchema: struct<vec_id:bigint,embedding:array<float>>" in plan
+
+
+def test_calibrated_posterior_searches_once(spark, sf):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = QUERIES["calibrated_posterior"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("MapInArrow") == 1 and "ReusedExchange" in plan
