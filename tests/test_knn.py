@@ -86,3 +86,56 @@ def test_sql_of_many_rows_joins_no_pairs(spark):
     q = o.where("row_id % 20 = 0").withColumnRenamed("row_id", "query_id")
     plan = search.knn(q, o, 5, strategy="sql")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "MapInArrow" in plan
+
+
+def test_blocks_of_the_grid_are_bounded(spark, monkeypatch, tmp_path):
+    """However many rows there are and however few shuffle partitions, a task holds blocks of fixed size."""
+    log = str(tmp_path / "sizes")
+
+    class Logged(TopK):
+        def add(self, x, ids, at=None):
+            with open(log, "a") as f:
+                f.write(f"{len(self.q)} {len(x)}\n")
+            super().add(x, ids, at)
+
+    x = np.round(np.random.default_rng(1).normal(size=(3_000, 4)), 1)
+    o = spark.createDataFrame(list(enumerate(x.tolist())), "row_id long, x array<double>")
+    q = o.where("row_id % 20 = 0").selectExpr("string(row_id) as query_id", "x")
+    monkeypatch.setattr(search, "TopK", Logged)
+    monkeypatch.setattr(search, "GRID_BYTES", 1 << 13)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        got = search.knn(q, o, 5, strategy="grid").orderBy("query_id", "rank").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    want = best(x[::20], x, np.arange(len(x)), 5)
+    assert [(r.query_id, str(r.d2), r.row_id) for r in got] == [(i, *row) for i in sorted(map(str, range(0, 3_000, 20))) for row in want[int(i) // 20]]
+    queries, rows = np.loadtxt(log, int).max(axis=0)
+    assert queries * (4 + 1 + 2 * 5) * 8 < 1.6 * (1 << 13) and rows * (4 + 1) * 8 < 1.6 * (1 << 13), (queries, rows)
+
+
+def test_rows_kept_for_queries_count_as_broadcast(spark, monkeypatch):
+    """1,000 queries of one number are 16 kB, the 50 rows that a task keeps for each are 800 kB."""
+    o = spark.range(2_000).selectExpr("id as row_id", "array(double(id % 977)) as x")
+    q = o.where("row_id % 2 = 0").withColumnRenamed("row_id", "query_id")
+    plan = lambda k: search.knn(q, o, k)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(search, "BROADCAST_BYTES", 100_000)
+    assert "MapInArrow" in plan(2) and "MapInArrow" not in plan(50)
+
+
+def test_rows_of_other_widths_are_refused():
+    mixed = search.pa.array([[1.0, 2.0], [1.0, 2.0, 3.0, 4.0]])
+    with pytest.raises(ValueError, match="3 components"):
+        search.matrix(mixed, 3)
+    assert search.matrix(search.pa.array([[], []], search.pa.list_(search.pa.float64())), 0).shape == (2, 0)
+
+
+def test_parts_are_all_rows(monkeypatch):
+    rng = np.random.default_rng(2)
+    q, x = rng.normal(size=(100, 3)), rng.normal(size=(500, 3))
+    top = TopK(q, 7)
+    top.add(x, np.arange(500))
+    monkeypatch.setattr(search, "CELLS", 50)
+    parts = list(top.parts())
+    assert max(len(p[0]) for p in parts) <= 50
+    assert [np.concatenate(c).tolist() for c in zip(*parts)] == [c.tolist() for c in top.rows()]
