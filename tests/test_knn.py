@@ -127,7 +127,11 @@ def test_rows_of_other_widths_are_refused():
     mixed = search.pa.array([[1.0, 2.0], [1.0, 2.0, 3.0, 4.0]])
     with pytest.raises(ValueError, match="3 components"):
         search.matrix(mixed, 3)
-    assert search.matrix(search.pa.array([[], []], search.pa.list_(search.pa.float64())), 0).shape == (2, 0)
+    with pytest.raises(ValueError, match="2 components"):
+        search.matrix(search.pa.array([[1.0, 2.0], None]), 2)
+    lists = search.pa.list_(search.pa.float64())
+    assert search.matrix(search.pa.array([[], []], lists), 0).shape == (2, 0)
+    assert search.matrix(search.pa.array([], lists), 3).shape == (0, 3)
 
 
 def test_parts_are_all_rows(monkeypatch):
